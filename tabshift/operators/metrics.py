@@ -61,9 +61,11 @@ class Scoring:
 Metric = Callable[[Scoring], DataFrame]
 
 
-def _scored(df: DataFrame, name: str, score: Column, **details: Column) -> DataFrame:
+def _scored(df: DataFrame, metric: str, value: Column, /, **details: Column) -> DataFrame:
     pairs = [x for k, v in details.items() for x in (F.lit(k), v.cast("string"))]
-    return df.select(F.lit(name).alias("name"), score.alias("score"), F.create_map(*pairs).alias("details"))
+    return df.select(
+        F.lit(metric).alias("name"), value.alias("score"), F.create_map(*pairs).alias("details")
+    )
 
 
 def _ratio(part: Column, whole: Column) -> Column:

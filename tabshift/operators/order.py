@@ -8,7 +8,7 @@ group counts are ever brought together.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tabshift.functions.names import IDX, POS, col
@@ -18,40 +18,42 @@ _ROW_BITS = 16
 _GROUP_BITS = 20
 
 
+def _before(window: WindowSpec) -> Column:
+    """Running sum of `_n` without the current row."""
+    return F.coalesce(
+        F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+
+
 def with_index(df: DataFrame, name: str = IDX) -> DataFrame:
     """Add the 0-based rank of `_pos` (WIN-1)."""
     group = F.shiftright(F.col(POS), _ROW_BITS)
     super_group = F.shiftright(F.col("_g"), _GROUP_BITS)
-    before = lambda w: F.coalesce(
-        F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
 
     counts = df.groupBy(group.alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_s", super_group)
-    super_offsets = (
-        counts.groupBy("_s")
-        .agg(F.sum("_n").alias("_n"))
-        # at most 2**27 rows, one per 2**36 positions; usually a handful
-        .select("_s", before(Window.partitionBy(F.lit(0)).orderBy("_s")).alias("_super_offset"))
+    super_counts = counts.groupBy(super_group.alias("_s")).agg(F.sum("_n").alias("_n"))
+    # at most 2**27 rows, one per 2**36 positions; usually a handful
+    super_offsets = super_counts.select(
+        "_s", _before(Window.partitionBy(F.lit(0)).orderBy("_s")).alias("_super_offset")
     )
-    offsets = (
-        counts.withColumn("_group_offset", before(Window.partitionBy("_s").orderBy("_g")))
-        .join(super_offsets, "_s")
-        .select("_g", (F.col("_group_offset") + F.col("_super_offset")).alias("_offset"))
-    )
-    ranked = df.withColumn("_g", group).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_g").orderBy(POS))
-    )
-    return (
-        ranked.join(offsets, "_g")
-        .withColumn(name, F.col("_offset") + F.col("_rank") - 1)
-        .drop("_g", "_rank", "_offset")
+    offsets = counts.select(
+        "_g",
+        super_group.alias("_s"),
+        _before(Window.partitionBy(super_group).orderBy("_g")).alias("_group_offset"),
+    ).join(super_offsets, "_s")
+    ranked = df.select(
+        "*",
+        group.alias("_g"),
+        F.row_number().over(Window.partitionBy(group).orderBy(POS)).alias("_rank"),
     )
+    index = F.col("_super_offset") + F.col("_group_offset") + F.col("_rank") - 1
+    return ranked.join(offsets, "_g").select(*[col(c) for c in df.columns], index.alias(name))
 
 
 def dense_positions(df: DataFrame) -> DataFrame:
     """Replace positions by ranks, which survive writing and reading back."""
-    return with_index(df).withColumn(POS, F.col(IDX)).drop(IDX)
+    ranked = with_index(df)
+    return ranked.select(*[F.col(IDX).alias(POS) if c == POS else col(c) for c in df.columns])
 
 
 def with_position(df: DataFrame, *order_by: str | Column) -> DataFrame:

@@ -54,7 +54,7 @@ def run_entries(results: DataFrame) -> DataFrame:
         "array<struct<kind:string,key:string,value:double,passed:int,ok:int>>"
     )
     parts = [F.coalesce(a, empty) for a in (runs, metrics, again, values)]
-    order = F.col("_path") if "_path" in results.columns else F.col("_pos")
+    order = F.col("_order") if "_order" in results.columns else F.col("_pos")
     return results.select(
         "agent_name", order.alias("order"), F.posexplode(F.concat(*parts)).alias("place", "e")
     ).select("agent_name", "order", "place", "e.*")

@@ -25,7 +25,7 @@ def render_markdown(summary: DataFrame, generated_at: datetime | None = None) ->
 
 def report(spark: SparkSession, root: str, folder: str | None = None) -> str:
     """Read the log below `root`, aggregate it and write both forms (PIP-4)."""
-    results = read_results(spark, root, RESULT_FILE)
+    results = read_results(spark, root)
     if results.isEmpty():
         raise FileNotFoundError(f"no {RESULT_FILE} below {root}")
     summary = summarize(results).persist()

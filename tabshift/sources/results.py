@@ -17,19 +17,33 @@ LOG_SCHEMA = (
 )
 
 
-def read_results(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
-    """Every result document below `root`, with its path as load order. Open
-    parts stay variants, so texts and numbers are told apart."""
+def _read(spark: SparkSession, root: str, pattern: str, multi_line: bool) -> DataFrame:
+    place = F.struct(
+        F.col("_metadata.file_path"),
+        F.col("_metadata.file_block_start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
     return (
         spark.read.schema(LOG_SCHEMA)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .json(root)
-        .select("*", F.col("_metadata.file_path").alias("_path"))
+        .select("*", place.alias("_order"))
     )
 
 
+def read_results(spark: SparkSession, root: str, pattern: str = RESULT_FILE) -> DataFrame:
+    """Every result document below `root`, one document per file, loaded in path
+    order. Open parts stay variants, so texts and numbers are told apart."""
+    return _read(spark, root, pattern, multi_line=True)
+
+
+def read_result_log(spark: SparkSession, root: str) -> DataFrame:
+    """Results written by `write_results`: one document per line."""
+    return _read(spark, root, "*.json", multi_line=False)
+
+
 def results_frame(spark: SparkSession, results: list[EvaluationResult]) -> DataFrame:
     """Scored runs as rows, metadata as JSON text."""
     from tabshift.plans.evaluate import RESULT_SCHEMA
@@ -38,7 +52,7 @@ def results_frame(spark: SparkSession, results: list[EvaluationResult]) -> DataF
 
 
 def write_results(df: DataFrame, path: str) -> None:
-    """One JSON document per run. A text column `metadata` is stored as the
+    """One JSON document per run and line. A text column `metadata` is stored as the
     object it spells."""
     if dict(df.dtypes).get("metadata") == "string":
         df = df.withColumn("metadata", F.parse_json("metadata"))
