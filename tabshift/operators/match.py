@@ -27,9 +27,7 @@ from tabshift.functions.cells import encode_cell
 from tabshift.functions.names import POS, col, data_columns
 from tabshift.session import cut_lineage
 
-# column subsets looked up in the first round, in which every truth row takes
-# part, and in each later one
-FIRST_ROUND_SUBSETS = 32
+# column subsets looked up in one round after the first
 ROUND_SUBSETS = 256
 # subsets written into one array literal
 ARRAY_SUBSETS = 2048
@@ -42,20 +40,20 @@ SENT_KEYS = 200_000
 
 
 def subset_rounds(n_columns: int) -> list[list[int]]:
-    """Sizes of the column subsets, largest first, grouped into rounds. A round
-    never splits a size."""
-    rounds: list[list[int]] = []
-    used = 0
-    for size in range(n_columns, 0, -1):
+    """Sizes of the column subsets, largest first, grouped into rounds. The first
+    round, in which every row takes part, finds rows with at most one wrong cell;
+    later rounds see few rows and take more subsets at a time."""
+    rounds: list[list[int]] = [[s for s in (n_columns, n_columns - 1) if s > 0]]
+    used = ROUND_SUBSETS
+    for size in range(n_columns - 2, 0, -1):
         count = comb(n_columns, size)
-        limit = FIRST_ROUND_SUBSETS if len(rounds) == 1 else ROUND_SUBSETS
-        if rounds and used + count <= limit:
+        if used + count <= ROUND_SUBSETS:
             rounds[-1].append(size)
             used += count
         else:
             rounds.append([size])
             used = count
-    return rounds
+    return [r for r in rounds if r]
 
 
 def _masks(width: int, sizes: list[int]):
@@ -171,9 +169,8 @@ def best_match(truth: DataFrame, output: DataFrame) -> DataFrame | None:
         settled.append(scored.filter(done).select("_t", "matched", "output_pos"))
         left = scored.filter(~done).drop("matched", "output_pos")
         rows = left.count()
-        if rows and "_live" not in left.columns:
-            # the remaining rounds read the output again
-            right = cut_lineage(right)
+        subsets_left = sum(comb(len(cells), s) for r in rounds for s in r)
+        if rows and subsets_left > ROUND_SUBSETS and "_live" not in left.columns:
             left = _with_live_columns(left, right, cells, rows)
             widest = left.agg(F.max(F.bit_count("_live"))).first()[0]
             rounds = [[s for s in r if s <= widest] for r in rounds]

@@ -20,29 +20,25 @@ from tabshift.specs import NoiseConfiguration, NoiseStep, SpecError
 NoiseModel = Callable[[DataFrame, NoiseStep, int, int, list[str]], DataFrame]
 
 
-def _rewrite(
-    df: DataFrame,
-    step: NoiseStep,
-    seed: int,
-    number: int,
-    columns: list[str],
-    change: Callable[[str, Column], Column],
-) -> DataFrame:
-    """Replace each cell that draws a hit by `change(name, cell)`; one digest
-    decides for four columns."""
-    digests = {
-        f"_d{i}": digest(seed, f"{number}|{i}", F.col(ROW_ID))
-        for i in range((len(columns) + SLOTS - 1) // SLOTS)
+def _digests(seed: int, number: str, count: int, prefix: str) -> dict[str, Column]:
+    """One digest per four columns, as columns of their own: the projection that
+    reads them stays small enough for the JVM to compile."""
+    return {
+        f"{prefix}{i}": digest(seed, f"{number}|{i}", F.col(ROW_ID))
+        for i in range((count + SLOTS - 1) // SLOTS)
     }
-    cells = []
-    for name in df.columns:
-        if name not in columns:
-            cells.append(col(name))
-            continue
-        i, slot = divmod(columns.index(name), SLOTS)
-        hit = chance(F.col(f"_d{i}"), slot, step.probability)
-        cells.append(F.when(hit, change(name, col(name))).otherwise(col(name)).alias(name))
-    return df.withColumns(digests).select(*cells)
+
+
+def _hit(j: int, probability: float) -> Column:
+    i, slot = divmod(j, SLOTS)
+    return chance(F.col(f"_d{i}"), slot, probability)
+
+
+def _rewrite(df: DataFrame, columns: list[str], cell: Callable[[int, Column], Column]) -> list[Column]:
+    """All columns, with `cell(number, old)` in place of those that may change."""
+    return [
+        cell(columns.index(c), col(c)).alias(c) if c in columns else col(c) for c in df.columns
+    ]
 
 
 def _swap(cell: Column, at: Column) -> Column:
@@ -56,19 +52,33 @@ def _swap(cell: Column, at: Column) -> Column:
 
 
 def typo(df: DataFrame, step: NoiseStep, seed: int, number: int, columns: list[str]) -> DataFrame:
-    def change(name: str, cell: Column) -> Column:
-        # a second stream, drawn for the few cells that are hit
-        places = digest(seed, f"{number}p|{columns.index(name)}", F.col(ROW_ID))
-        at = pick(places, 0, F.length(cell) - 1).cast("int")
-        return F.when(F.length(cell) >= 2, _swap(cell, at)).otherwise(cell)
-
-    return _rewrite(df, step, seed, number, columns, change)
+    """Swap two neighbouring characters of cells with at least two."""
+    drawn = df.withColumns(
+        {
+            **_digests(seed, str(number), len(columns), "_d"),
+            **_digests(seed, f"{number}p", len(columns), "_p"),
+        }
+    )
+    places = {}
+    for j, name in enumerate(columns):
+        length = F.length(col(name))
+        at = pick(F.col(f"_p{j // SLOTS}"), j % SLOTS, length - 1).cast("int")
+        # only cells that are hit get a place
+        places[f"_at{j}"] = F.when((length >= 2) & _hit(j, step.probability), at)
+    changed = _rewrite(
+        df,
+        columns,
+        lambda j, cell: F.when(F.col(f"_at{j}").isNotNull(), _swap(cell, F.col(f"_at{j}"))).otherwise(cell),
+    )
+    return drawn.withColumns(places).select(*changed)
 
 
 def missing_value(
     df: DataFrame, step: NoiseStep, seed: int, number: int, columns: list[str]
 ) -> DataFrame:
-    return _rewrite(df, step, seed, number, columns, lambda name, cell: F.lit(None).cast("string"))
+    drawn = df.withColumns(_digests(seed, str(number), len(columns), "_d"))
+    kept = lambda j, cell: F.when(~_hit(j, step.probability), cell)
+    return drawn.select(*_rewrite(df, columns, kept))
 
 
 def duplicate(

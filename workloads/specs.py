@@ -246,7 +246,7 @@ def noise_sql(source: str, columns: list[str], config: NoiseConfiguration, rid:
                 changed = "NULL"
             else:
                 at = (
-                    f"(CAST('0x' || substr(md5('{config.seed}|{number}p|{j}|' || rid), 1, 8) AS BIGINT)"
+                    f"(CAST('0x' || substr(md5('{config.seed}|{number}p|{j // SLOTS}|' || rid), {1 + 8 * (j % SLOTS)}, 8) AS BIGINT)"
                     f" % (length({name}) - 1))"
                 )
                 changed = (
