@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,8 @@ from tabshift.functions.names import POS, col, data_columns, has_position
 
 DELIMITERS = ",;\t|"
 SNIFFED_CHARACTERS = 4096
-_BLOCK_BITS = 20
+_ROW_BITS = 33
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
 # files that are numbered by a broadcast table; 200 bytes each
 _LISTED_FILES = 100_000
 
@@ -53,35 +55,53 @@ def header_names(head: str, delimiter: str) -> list[str]:
     return names
 
 
-def _file_offsets(spark: SparkSession, path: str) -> DataFrame:
+def _setting_bytes(spark: SparkSession, key: str) -> int:
+    """Size setting such as `128MB` or `134217728b`."""
+    number, unit = re.fullmatch(r"(\d+)([bkmg]?)i?b?", spark.conf.get(key).lower()).groups()
+    return int(number) * _UNITS[unit]
+
+
+def _block_bits(spark: SparkSession) -> int:
+    """Splits of a file start at least 2**bits bytes apart: no split is smaller
+    than both settings, except the last one of a file."""
+    smallest = min(
+        _setting_bytes(spark, "spark.sql.files.maxPartitionBytes"),
+        _setting_bytes(spark, "spark.sql.files.openCostInBytes"),
+    )
+    return max(smallest.bit_length() - 1, 0)
+
+
+def _file_offsets(spark: SparkSession, path: str, bits: int) -> DataFrame:
     """First block number per file, files in path order. Reads the listing only."""
-    files = spark.read.format("binaryFile").load(path).select("_metadata.file_path", "_metadata.file_size")
-    blocks = F.shiftright(F.col("file_size"), _BLOCK_BITS) + 1
-    before = Window.partitionBy(F.lit(0)).orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
-    return files.select("file_path", F.coalesce(F.sum(blocks).over(before), F.lit(0)).alias("_base"))
+    files = spark.read.format("binaryFile").load(path).select(
+        "_metadata.file_path", "_metadata.file_size"
+    )
+    blocks = F.shiftright(F.col("file_size"), bits) + 1
+    by_path = Window.partitionBy(F.lit(0)).orderBy("file_path")
+    before = F.sum(blocks).over(by_path.rowsBetween(Window.unboundedPreceding, -1))
+    return files.select("file_path", F.coalesce(before, F.lit(0)).alias("_base"))
 
 
 def _positioned(spark: SparkSession, path: str, raw: DataFrame, names: list[str]) -> DataFrame:
     """Position from (file, place of the split in the file, row in the split).
     The running row id alone follows the scheduling of splits, not the files."""
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    block = F.shiftright(F.col("_metadata.file_block_start"), _BLOCK_BITS)
+    bits = _block_bits(spark)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     scanned = raw.select(
         *[col(c) for c in names],
         F.col("_metadata.file_path").alias("_file"),
-        block.alias("_block"),
+        F.shiftright(F.col("_metadata.file_block_start"), bits).alias("_block"),
         row.alias("_row"),
     )
-    files = raw.inputFiles()
-    if len(files) == 1:
-        base = F.lit(0).cast("bigint")
-    else:
-        offsets = _file_offsets(spark, path)
-        if len(files) <= _LISTED_FILES:
+    base = F.lit(0).cast("bigint")
+    n_files = len(raw.inputFiles())
+    if n_files > 1:
+        offsets = _file_offsets(spark, path, bits)
+        if n_files <= _LISTED_FILES:
             offsets = F.broadcast(offsets)
         scanned = scanned.join(offsets, F.col("_file") == F.col("file_path"))
         base = F.col("_base")
-    position = F.shiftleft(base + F.col("_block"), 33) + F.col("_row")
+    position = F.shiftleft(base + F.col("_block"), _ROW_BITS) + F.col("_row")
     return scanned.select(*[col(c) for c in names], position.alias(POS))
 
 
