@@ -27,8 +27,9 @@ from tabshift.functions.cells import encode_cell
 from tabshift.functions.names import POS, col, data_columns
 from tabshift.session import cut_lineage
 
-# column subsets looked up in one round after the first
+# one round looks up subsets of several sizes as long as it stays below both
 ROUND_SUBSETS = 256
+ROUND_LOOKUPS = 1_000_000
 # subsets written into one array literal
 ARRAY_SUBSETS = 2048
 # below this number of lookups a single key cannot overload a task
@@ -39,21 +40,18 @@ SALTS = 32
 SENT_KEYS = 200_000
 
 
-def subset_rounds(n_columns: int) -> list[list[int]]:
-    """Sizes of the column subsets, largest first, grouped into rounds. The first
-    round, in which every row takes part, finds rows with at most one wrong cell;
-    later rounds see few rows and take more subsets at a time."""
-    rounds: list[list[int]] = [[s for s in (n_columns, n_columns - 1) if s > 0]]
-    used = ROUND_SUBSETS
-    for size in range(n_columns - 2, 0, -1):
-        count = comb(n_columns, size)
-        if used + count <= ROUND_SUBSETS:
-            rounds[-1].append(size)
-            used += count
-        else:
-            rounds.append([size])
-            used = count
-    return [r for r in rounds if r]
+def next_sizes(n_columns: int, largest: int, rows: int) -> list[int]:
+    """Subset sizes of the next round, from `largest` down. On large tables that
+    is one size: most rows of a good candidate are settled by the whole row, and
+    only what is left is looked up by smaller subsets."""
+    sizes: list[int] = []
+    subsets = 0
+    for size in range(largest, 0, -1):
+        subsets += comb(n_columns, size)
+        if sizes and (subsets > ROUND_SUBSETS or rows * subsets > ROUND_LOOKUPS):
+            break
+        sizes.append(size)
+    return sizes
 
 
 def _masks(width: int, sizes: list[int]):
@@ -116,17 +114,18 @@ def _found(left: DataFrame, right: DataFrame, cells: list[str], sizes: list[int]
     return _lookup(wanted, index, lookups)
 
 
-def _best(found: DataFrame) -> DataFrame:
-    """Largest subset, then lowest output position."""
-    rank = F.struct(F.bit_count("_mask").alias("size"), (-F.col("_o")).alias("neg"))
-    return (
-        found.groupBy("_t")
-        .agg(F.max(rank).alias("_best"))
-        .select(
-            "_t",
-            F.col("_best.size").cast("bigint").alias("matched"),
-            (-F.col("_best.neg")).alias("output_pos"),
-        )
+def _best(found: DataFrame, sizes: list[int]) -> DataFrame:
+    """Largest subset, then lowest output position. One minimum per size keeps
+    the aggregate on plain numbers."""
+    size = F.bit_count("_mask")
+    lowest = found.groupBy("_t").agg(
+        *[F.min(F.when(size == s, F.col("_o"))).alias(f"_o{s}") for s in sizes]
+    )
+    matched = F.coalesce(*[F.when(F.col(f"_o{s}").isNotNull(), F.lit(s)) for s in sizes])
+    return lowest.select(
+        "_t",
+        matched.cast("bigint").alias("matched"),
+        F.coalesce(*[F.col(f"_o{s}") for s in sizes]).alias("output_pos"),
     )
 
 
@@ -154,14 +153,16 @@ def best_match(truth: DataFrame, output: DataFrame) -> DataFrame | None:
     right, _ = _encoded(output, columns, "_o")
     # scalar subquery: position of the first output row
     first = output.agg(F.min(POS)).scalar()
-    rounds = subset_rounds(len(columns))
+    total = rows = truth.count()
+    largest = len(columns)
 
     settled: list[DataFrame] = []
-    rows = truth.count()
-    while rounds and rows:
-        sizes = rounds.pop(0)
-        scored = left.join(_best(_found(left, right, cells, sizes, rows)), "_t", "left")
-        if not rounds:
+    while largest and rows:
+        sizes = next_sizes(len(columns), largest, total)
+        found = _found(left, right, cells, sizes, rows)
+        scored = left.join(_best(found, sizes), "_t", "left")
+        largest = sizes[-1] - 1
+        if not largest:
             left = scored
             break
         scored = cut_lineage(scored)
@@ -169,12 +170,10 @@ def best_match(truth: DataFrame, output: DataFrame) -> DataFrame | None:
         settled.append(scored.filter(done).select("_t", "matched", "output_pos"))
         left = scored.filter(~done).drop("matched", "output_pos")
         rows = left.count()
-        subsets_left = sum(comb(len(cells), s) for r in rounds for s in r)
+        subsets_left = sum(comb(len(cells), s) for s in range(1, largest + 1))
         if rows and subsets_left > ROUND_SUBSETS and "_live" not in left.columns:
             left = _with_live_columns(left, right, cells, rows)
-            widest = left.agg(F.max(F.bit_count("_live"))).first()[0]
-            rounds = [[s for s in r if s <= widest] for r in rounds]
-            rounds = [r for r in rounds if r]
+            largest = min(largest, left.agg(F.max(F.bit_count("_live"))).first()[0])
     if "matched" not in left.columns:
         nothing = F.lit(None).cast("bigint")
         left = left.withColumns({"matched": nothing, "output_pos": nothing})

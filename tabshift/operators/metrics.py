@@ -222,7 +222,6 @@ def error_correction_accuracy(s: Scoring) -> DataFrame:
 
     pairs = [(a, b) for a, b in rule_targets(s.task) if b in s.columns]
     targets = sorted({b for _, b in pairs})
-    sizes = _two_counts(kept, s.truth)
 
     # truth row i is what the i-th kept clean row became
     damaged = changed_columns(with_index(kept), s.noisy, key).filter(F.size("_changed") > 0)
@@ -250,12 +249,18 @@ def error_correction_accuracy(s: Scoring) -> DataFrame:
     zero = F.lit(0)
     checked = sum((is_damaged(a).cast("int") for a, _ in pairs), zero)
     correct = sum(((is_damaged(a) & is_right(b)).cast("int") for a, b in pairs), zero)
-    totals = traced.agg(
-        F.coalesce(F.sum(checked), zero).alias("checked"),
-        F.coalesce(F.sum(correct), zero).alias("correct"),
-    )
-    # both sides are single-row aggregates
-    totals = totals.join(F.broadcast(sizes), F.lit(True))
+    # row counts and cell counts go through one aggregate
+    parts = [
+        (traced, zero, zero, checked, correct),
+        (kept, F.lit(1), zero, zero, zero),
+        (s.truth, zero, F.lit(1), zero, zero),
+    ]
+    names = ("kept", "expected", "checked", "correct")
+    rows = None
+    for df, *counts in parts:
+        part = df.select(*[c.cast("bigint").alias(n) for n, c in zip(names, counts)])
+        rows = part if rows is None else rows.unionAll(part)
+    totals = rows.agg(*[F.coalesce(F.sum(n), zero).alias(n) for n in names])
     applicable = F.col("kept") == F.col("expected")
     return _scored(
         totals, name,
@@ -264,13 +269,6 @@ def error_correction_accuracy(s: Scoring) -> DataFrame:
     )
 
 
-def _two_counts(kept: DataFrame, truth: DataFrame) -> DataFrame:
-    sides = kept.select(F.lit(1).alias("e")).unionAll(truth.select(F.lit(0).alias("e")))
-    return sides.agg(
-        F.count_if(F.col("e") == 1).alias("kept"), F.count_if(F.col("e") == 0).alias("expected")
-    )
-
-
 def reproduction_score(original: DataFrame, again: DataFrame) -> DataFrame:
     """Row agreement of a table with its re-derivation (MET-8)."""
     return row_accuracy(Scoring(output=again, truth=original)).withColumn(

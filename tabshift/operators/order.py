@@ -41,11 +41,11 @@ def with_index(df: DataFrame, name: str = IDX) -> DataFrame:
         super_group.alias("_s"),
         _before(Window.partitionBy(super_group).orderBy("_g")).alias("_group_offset"),
     ).join(super_offsets, "_s")
-    ranked = df.select(
-        "*",
-        group.alias("_g"),
-        F.row_number().over(Window.partitionBy(group).orderBy(POS)).alias("_rank"),
-    )
+    # `_g` is a column of its own, so that the join below finds the rows already
+    # partitioned by it and does not shuffle them again
+    grouped = df.select("*", group.alias("_g"))
+    rank = F.row_number().over(Window.partitionBy("_g").orderBy(POS))
+    ranked = grouped.select("*", rank.alias("_rank"))
     index = F.col("_super_offset") + F.col("_group_offset") + F.col("_rank") - 1
     return ranked.join(offsets, "_g").select(*[col(c) for c in df.columns], index.alias(name))
 

@@ -60,18 +60,12 @@ def run_entries(results: DataFrame) -> DataFrame:
     ).select("agent_name", "order", "place", "e.*")
 
 
-def _grouped(results: DataFrame) -> DataFrame:
+def _grouped(results: DataFrame, *more: Column) -> DataFrame:
     """One shuffle for all aggregates; partial sums keep a busy agent cheap."""
     return (
         run_entries(results)
         .groupBy("agent_name", "kind", "key")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.avg("value").alias("mean"),
-            F.sum("passed").alias("passed"),
-            F.sum("ok").alias("ok"),
-            F.min(F.struct("order", "place")).alias("first"),
-        )
+        .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), *more)
     )
 
 
@@ -101,9 +95,14 @@ def summarize(results: DataFrame) -> DataFrame:
     is_run = F.col("kind") == "run"
     only = lambda c: F.max(F.when(is_run, F.col(c)))
     share = lambda c: F.col(c).cast("double") / F.col("total_tasks").cast("double")
+    entries = _grouped(
+        results,
+        F.sum("passed").alias("passed"),
+        F.sum("ok").alias("ok"),
+        F.min(F.struct("order", "place")).alias("first"),
+    )
     return (
-        _grouped(results)
-        .groupBy("agent_name")
+        entries.groupBy("agent_name")
         .agg(
             only("n").alias("total_tasks"),
             only("passed").alias("passed_tasks"),

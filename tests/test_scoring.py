@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import tabshift.operators.match as match
 from tabshift.functions.names import POS
 from tabshift.operators.compare import multiset_overlap, positional_diff, row_multiset
-from tabshift.operators.match import best_match, subset_rounds
+from tabshift.operators.match import best_match, next_sizes
 from tabshift.operators.metrics import METRICS, Scoring, reproduction_score
 from tabshift.plans.evaluate import evaluate, failed_run, score
 from workloads.specs import noise, rule, task
@@ -76,9 +76,20 @@ def test_wide_tables_use_live_columns(table, monkeypatch):
     assert matched(best_match(table(names, truth), table(names, output))) == brute_best(truth, output)
 
 
-def test_rounds_cover_every_size():
-    for width in range(1, 20):
-        assert [s for r in subset_rounds(width) for s in r] == list(range(width, 0, -1))
+@pytest.mark.parametrize("lookups", [0, 200, 10**9])
+def test_rounds_of_any_length_agree(table, monkeypatch, lookups):
+    monkeypatch.setattr(match, "ROUND_LOOKUPS", lookups)
+    rng = random.Random(5)
+    truth, output = random_rows(rng, 20, 4), random_rows(rng, 25, 4)
+    names = list("abcd")
+    assert matched(best_match(table(names, truth), table(names, output))) == brute_best(truth, output)
+
+
+def test_sizes_of_a_round():
+    assert next_sizes(4, 4, 10) == [4, 3, 2, 1]
+    assert next_sizes(4, 4, 10**9) == [4]
+    assert next_sizes(20, 19, 1) == [19, 18]
+    assert next_sizes(20, 10, 1) == [10]
 
 
 def test_other_columns_cannot_be_matched(table):
