@@ -1,4 +1,4 @@
-"""Predicates and encodings over text cells."""
+"""Predicates over text cells, and row fingerprints."""
 
 from __future__ import annotations
 
@@ -49,17 +49,12 @@ def to_double(cell: Column) -> Column:
     return F.when(is_number(cell), F.trim(cell).try_cast("double"))
 
 
-def encode_cell(cell: Column) -> Column:
-    """Self-delimiting text of a nullable cell, so that concatenations of
-    encoded cells are equal only if the cells are (null equals null)."""
-    return F.coalesce(F.concat(F.length(cell).cast("string"), F.lit(":"), cell), F.lit("-"))
-
-
-def row_fingerprint(columns: list[str]) -> Column:
-    """128-bit digest of a row: shuffles 16 bytes instead of the row's text."""
-    if not columns:
-        return F.unhex(F.md5(F.lit("")))
-    return F.unhex(F.md5(F.concat(*[encode_cell(col(c)) for c in columns])))
+def fingerprint(values: list[Column]) -> list[Column]:
+    """Two longs that are equal for equal value lists (null equal to null) and,
+    with 128 bits, for no others. Shuffles 16 bytes instead of the values."""
+    # xxhash64 skips nulls, so whether a value is null is hashed as well
+    parts = [x for v in values for x in (v.isNull(), v)]
+    return [F.xxhash64(F.lit(salt), *parts) for salt in (0, 1)]
 
 
 def all_of(conditions: list[Column]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabshift.functions.cells import all_of, row_fingerprint
+from tabshift.functions.cells import all_of, fingerprint
 from tabshift.functions.names import IDX, col, data_columns
 from tabshift.operators.order import with_index
 
@@ -20,15 +20,19 @@ def multiset_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row (left_rows, right_rows, matched_rows) with matched_rows the size
     of the multiset intersection (SET-1). Both sides go through one shuffle of
     row fingerprints, and copies of a row are counted before it."""
+    key_1, key_2 = fingerprint([col(c) for c in data_columns(left)])
     sides = [
         df.select(
-            row_fingerprint(data_columns(left)).alias("_row"),
+            key_1.alias("_k1"),
+            key_2.alias("_k2"),
             F.lit(in_left).cast("bigint").alias("_l"),
             F.lit(1 - in_left).cast("bigint").alias("_r"),
         )
         for df, in_left in ((left, 1), (right, 0))
     ]
-    counts = sides[0].unionAll(sides[1]).groupBy("_row").agg(F.sum("_l").alias("l"), F.sum("_r").alias("r"))
+    counts = (
+        sides[0].unionAll(sides[1]).groupBy("_k1", "_k2").agg(F.sum("_l").alias("l"), F.sum("_r").alias("r"))
+    )
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     return counts.agg(
         total(F.col("l")).alias("left_rows"),

@@ -23,7 +23,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabshift.functions.cells import encode_cell
+from tabshift.functions.cells import fingerprint
 from tabshift.functions.names import POS, col, data_columns
 from tabshift.session import cut_lineage
 
@@ -36,6 +36,8 @@ ARRAY_SUBSETS = 2048
 SALT_FROM_LOOKUPS = 20_000_000
 HOT_KEY_LOOKUPS = 1_000_000
 SALTS = 32
+# fingerprint of a projection
+KEY = ["_k1", "_k2"]
 # wanted keys (16 bytes each) that are sent to every task to thin out the index
 SENT_KEYS = 200_000
 
@@ -60,17 +62,9 @@ def _masks(width: int, sizes: list[int]):
             yield sum(1 << b for b in bits)
 
 
-def _key(cells: list[str]) -> Column:
-    """Digest of the row's cells in the subset `_mask`."""
-    parts = [F.col("_mask").cast("string"), F.lit("|")]
-    for bit, name in enumerate(cells):
-        in_subset = F.col("_mask").bitwiseAND(F.lit(1 << bit).cast("bigint")) != 0
-        parts.append(F.when(in_subset, F.col(name)).otherwise(F.lit("")))
-    return F.unhex(F.md5(F.concat(*parts)))
-
-
 def _projections(df: DataFrame, cells: list[str], sizes: list[int], keep: list[str]) -> DataFrame:
-    """One row per (row, subset). With a column `_live`, only subsets of it."""
+    """One row per (row, subset) with the fingerprint of the cells in the subset.
+    With a column `_live`, only subsets of it."""
     out = None
     for masks in batched(_masks(len(cells), sizes), ARRAY_SUBSETS):
         array = F.array(*[F.lit(m).cast("bigint") for m in masks])
@@ -79,26 +73,32 @@ def _projections(df: DataFrame, cells: list[str], sizes: list[int], keep: list[s
             array = F.filter(array, lambda m: m.bitwiseAND(live) == m)
         part = df.select(*keep, *cells, F.explode(array).alias("_mask"))
         out = part if out is None else out.unionAll(part)
-    return out.select(*keep, "_mask", _key(cells).alias("_key"))
+    mask = F.col("_mask")
+    chosen = []
+    for bit, name in enumerate(cells):
+        in_subset = mask.bitwiseAND(F.lit(1 << bit).cast("bigint")) != 0
+        chosen.append(F.when(in_subset, F.col(name)))
+    key_1, key_2 = fingerprint([mask, *chosen])
+    return out.select(*keep, "_mask", key_1.alias("_k1"), key_2.alias("_k2"))
 
 
 def _lookup(left: DataFrame, index: DataFrame, lookups: int) -> DataFrame:
-    """Join on `_key`, unique in `index`. When there are enough lookups for one
+    """Join on the key, unique in `index`. When there are enough lookups for one
     key to overload a task, lookups of hot keys are spread over salted copies of
     their index entry."""
     if lookups < SALT_FROM_LOOKUPS:
-        return left.join(index, "_key")
-    counts = left.groupBy("_key").count().filter(F.col("count") >= HOT_KEY_LOOKUPS)
+        return left.join(index, KEY)
+    counts = left.groupBy(*KEY).count().filter(F.col("count") >= HOT_KEY_LOOKUPS)
     # proven bound: at most lookups / HOT_KEY_LOOKUPS keys of 16 bytes
-    hot = F.broadcast(counts.select("_key", F.lit(True).alias("_hot")))
+    hot = F.broadcast(counts.select(*KEY, F.lit(True).alias("_hot")))
     is_hot = F.coalesce(F.col("_hot"), F.lit(False))
     salt = F.when(is_hot, F.pmod(F.xxhash64("_t"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     spread = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_left = left.join(hot, "_key", "left").withColumn("_salt", salt).drop("_hot")
+    salted_left = left.join(hot, KEY, "left").withColumn("_salt", salt).drop("_hot")
     salted_index = (
-        index.join(hot, "_key", "left").withColumn("_salt", F.explode(spread)).drop("_hot")
+        index.join(hot, KEY, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
     )
-    return salted_left.join(salted_index, ["_key", "_salt"]).drop("_salt")
+    return salted_left.join(salted_index, [*KEY, "_salt"]).drop("_salt")
 
 
 def _found(left: DataFrame, right: DataFrame, cells: list[str], sizes: list[int], rows: int):
@@ -108,9 +108,9 @@ def _found(left: DataFrame, right: DataFrame, cells: list[str], sizes: list[int]
     wanted = _projections(left, cells, sizes, ["_t"])
     offered = _projections(right, cells, sizes, ["_o"])
     if lookups <= SENT_KEYS:
-        keys = F.broadcast(wanted.select("_key").distinct())
-        offered = offered.join(keys, "_key", "left_semi")
-    index = offered.groupBy("_key").agg(F.min("_o").alias("_o"))
+        keys = F.broadcast(wanted.select(*KEY).distinct())
+        offered = offered.join(keys, KEY, "left_semi")
+    index = offered.groupBy(*KEY).agg(F.min("_o").alias("_o"))
     return _lookup(wanted, index, lookups)
 
 
@@ -129,10 +129,11 @@ def _best(found: DataFrame, sizes: list[int]) -> DataFrame:
     )
 
 
-def _encoded(df: DataFrame, columns: list[str], position: str) -> tuple[DataFrame, list[str]]:
+def _cells(df: DataFrame, columns: list[str], position: str) -> tuple[DataFrame, list[str]]:
     cells = [f"_c{i}" for i in range(len(columns))]
-    encoded = [encode_cell(col(c)).alias(n) for c, n in zip(columns, cells)]
-    return df.select(F.col(POS).alias(position), *encoded), cells
+    return df.select(
+        F.col(POS).alias(position), *[col(c).alias(n) for c, n in zip(columns, cells)]
+    ), cells
 
 
 def _with_live_columns(left: DataFrame, right: DataFrame, cells: list[str], rows: int):
@@ -149,8 +150,8 @@ def best_match(truth: DataFrame, output: DataFrame) -> DataFrame | None:
     columns = data_columns(truth)
     if columns != data_columns(output):
         return None
-    left, cells = _encoded(truth, columns, "_t")
-    right, _ = _encoded(output, columns, "_o")
+    left, cells = _cells(truth, columns, "_t")
+    right, _ = _cells(output, columns, "_o")
     # scalar subquery: position of the first output row
     first = output.agg(F.min(POS)).scalar()
     total = rows = truth.count()

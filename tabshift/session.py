@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,12 +30,18 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the folder which all executors share. The folder is
+    the cluster's checkpoint folder; a local one is made only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabshift-")
+    return f"{base.rstrip('/')}/tabshift/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder, so that later steps
-    neither recompute it nor depend on the executors which produced it."""
+    """Write `df` to the shared folder and go on from there: later steps neither
+    recompute it nor depend on the executors which produced it, and the planner
+    knows its true size."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tabshift-"))
-    return df.checkpoint(eager=True)
+    path = shared_folder(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

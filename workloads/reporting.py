@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tabshift.functions.names import POS, col
 from tabshift.operators.order import with_index
 from tabshift.operators.summary import agent_sections, metadata_means, metric_means, summarize
+from tabshift.session import shared_folder
 from tabshift.sources.csv import read_table, write_table
 from tabshift.sources.results import read_result_log, write_results
-from workloads.tables import ORDERS, RUNS, orders, run_log, shared_folder
+from workloads.tables import ORDERS, RUNS, orders, run_log
 
 
 def report_summary(spark, sf_dir):

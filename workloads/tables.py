@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,9 +155,3 @@ RUNS = """
 SELECT event_id, event_type AS agent_name, value > 100 AS passed, value >= 5 AS ok,
        value, CAST(json_extract(props, '$.k') AS DOUBLE) AS k
 FROM events"""
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder next to the checkpoints, which all executors can reach."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tabshift"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
