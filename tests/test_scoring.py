@@ -36,7 +36,7 @@ def random_rows(rng, n, width):
     return [[cell() for _ in range(width)] for _ in range(n)]
 
 
-@pytest.mark.parametrize("width, n, m", [(1, 6, 4), (2, 0, 3), (3, 5, 0), (5, 60, 80), (6, 40, 50), (9, 25, 30)])
+@pytest.mark.parametrize("width, n, m", [(1, 6, 4), (2, 0, 3), (3, 5, 0), (5, 60, 80), (9, 25, 30)])
 def test_best_match_equals_all_pairs(table, width, n, m):
     rng = random.Random(width)
     truth, output = random_rows(rng, n, width), random_rows(rng, m, width)
@@ -45,7 +45,7 @@ def test_best_match_equals_all_pairs(table, width, n, m):
     assert got == brute_best(truth, output)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(
     st.lists(st.lists(st.sampled_from([None, "a", "b", "1:a"]), min_size=3, max_size=3), max_size=6),
     st.lists(st.lists(st.sampled_from([None, "a", "b", "-"]), min_size=3, max_size=3), max_size=6),

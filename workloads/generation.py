@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import functions as F
 
 from tabshift.functions.names import POS, col
@@ -19,7 +22,10 @@ from tabshift.functions.words import (
 from tabshift.operators.compare import value_leaks
 from tabshift.operators.noise import apply_noise
 from tabshift.operators.synth import synthesize
-from tabshift.plans.build import derive_bundle
+from tabshift.plans.build import build_package, derive_bundle
+from tabshift.session import shared_folder
+from tabshift.sources.bundle import SOURCE_TABLE
+from tabshift.sources.csv import write_table
 from workloads.specs import (
     CUSTOMER_NOISE,
     SUPPLIER_SCHEMA,
@@ -28,6 +34,7 @@ from workloads.specs import (
     noise,
     noise_sql,
     pick_sql,
+    schema,
     supplier_truth_sql,
     synthesis,
     u_sql,
@@ -199,14 +206,57 @@ def build_bundle(spark, sf_dir):
         suppliers(spark, sf_dir), synthesis(SEED, **SUPPLIER_SYNTHESIS), BUNDLE_NOISE,
         SUPPLIER_TASK, SUPPLIER_SCHEMA,
     )
+    return _labelled_rows(bundle.clean, bundle.dataset, bundle.truth)
+
+
+def _labelled_rows(clean, dataset, truth):
     out = None
-    for name, df in (("clean", bundle.clean), ("dataset", bundle.dataset), ("truth", bundle.truth)):
+    for name, df in (("clean", clean), ("dataset", dataset), ("truth", truth)):
         cells = [F.coalesce(col(c), F.lit("~")) for c in df.columns if c != POS]
         rows = df.select(F.lit(name).alias("bundle_table"), F.concat_ws("|", *cells).alias("row_text"))
         out = rows if out is None else out.unionAll(rows)
     return out
 
 
+def bundle_load(spark, sf_dir):
+    """The same package built on disk: specs and source in a folder, three tables
+    derived, written as CSV and loaded again."""
+    root = shared_folder(spark, "package")
+    write_table(suppliers(spark, sf_dir), f"{root}/{SOURCE_TABLE}")
+    system = {"name": "s", "description": "s"}
+    specs = {
+        "task.yaml": asdict(SUPPLIER_TASK),
+        "schemas/source_schema.yaml": asdict(schema("SRC", *_SUPPLIER_COLUMNS)),
+        "schemas/target_schema.yaml": asdict(SUPPLIER_SCHEMA),
+        "noise_configuration.yaml": asdict(BUNDLE_NOISE),
+        "synthesis_configuration.yaml": asdict(synthesis(SEED, **SUPPLIER_SYNTHESIS)),
+        "scenario.yaml": {
+            "scenario_id": "S", "name": "n", "domain": "d", "description": "d",
+            "business_objects": [], "systems": {"source": system, "target": system},
+        },
+        "metadata.yaml": {
+            "scenario_id": "S", "task_id": SUPPLIER_TASK.task_id, "version": "1", "author": "a",
+            "created": "c", "task_complexity": "basic", "specification_completeness": "explicit",
+            "data_quality": "noisy", "seed": BUNDLE_NOISE.seed,
+        },
+    }
+    for name, content in specs.items():
+        document = spark.createDataFrame([(json.dumps(_open_params(content)),)], "value string")
+        document.coalesce(1).write.text(f"{root}/{name}")
+    package = build_package(spark, root)
+    return _labelled_rows(package.clean_dataset, package.dataset, package.ground_truth)
+
+
+def _open_params(value):
+    """Spec dictionary as it is written in a file: extra keys next to the others."""
+    if isinstance(value, dict):
+        flat = {k: _open_params(v) for k, v in value.items() if k != "params"}
+        return {**flat, **value.get("params", {})}
+    if isinstance(value, list):
+        return [_open_params(v) for v in value]
+    return value
+
+
 def _row_text(columns):
     return " || '|' || ".join(f"""coalesce("{c}", '~')""" for c in columns)
 
@@ -293,4 +343,5 @@ QUERIES = {
         noise_sql(f"({LINEITEMS})", _LINE_COLUMNS, LINES, rid=_LINE_RID, has_pos=False),
     ),
     "build_bundle": (build_bundle, BUILD_BUNDLE),
+    "bundle_load": (bundle_load, BUILD_BUNDLE),
 }
