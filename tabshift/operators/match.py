@@ -166,8 +166,11 @@ def best_match(truth: DataFrame, output: DataFrame) -> DataFrame | None:
         if not largest:
             left = scored
             break
-        scored = cut_lineage(scored)
         done = F.col("matched").isNotNull()
+        # the cells of settled rows are not needed any more
+        scored = cut_lineage(
+            scored.withColumns({c: F.when(~done, F.col(c)) for c in cells})
+        )
         settled.append(scored.filter(done).select("_t", "matched", "output_pos"))
         left = scored.filter(~done).drop("matched", "output_pos")
         rows = left.count()

@@ -221,6 +221,8 @@ def error_correction_accuracy(s: Scoring) -> DataFrame:
         return s.fixed(name, 0.0, applicable=True, reason="column mismatch")
 
     pairs = [(a, b) for a, b in rule_targets(s.task) if b in s.columns]
+    if not pairs:
+        return s.fixed(name, 1.0, applicable=True, reason="no noisy field is mapped")
     targets = sorted({b for _, b in pairs})
 
     # truth row i is what the i-th kept clean row became

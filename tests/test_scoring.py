@@ -218,6 +218,7 @@ def test_error_correction_where_it_does_not_apply(damaged, table):
         {"noise": noise(1, ["nope"], ("typo", 0.1))},
         {"noisy": damaged["clean"]},
         {"truth": truth.filter("id = '1'")},
+        {"task": task("T", {"field": "n", "operator": ">", "value": 1}, [])},
     ]
     for case in cases:
         assert correction(damaged, truth, **case)[0] == 1.0
