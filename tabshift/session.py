@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -30,11 +33,32 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@functools.cache
+def _local_base() -> str:
+    base = tempfile.mkdtemp(prefix="tabshift-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder which the driver and all executors share: `spark.checkpoint.dir`, else the
+    context's checkpoint folder. Only a local master, where there is one machine, may go
+    without; a cluster without such a folder is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = held.get() if held.isDefined() else None
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_base()
+    return base.rstrip("/")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder which all executors share. The folder is
-    the cluster's checkpoint folder; a local one is made only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabshift-")
-    return f"{base.rstrip('/')}/tabshift/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder."""
+    return f"{shared_base(spark)}/tabshift/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
