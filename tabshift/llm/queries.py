@@ -3,9 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabshift.llm import chat, decontaminate, packing, warc
-from tabshift.llm.common import load
+from tabshift.llm import chat, decontaminate, language, packing, toxicity, warc
+from tabshift.llm.common import load, training
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    learn = training(F.col("doc_id"), 3, 1)
+    labelled = docs.filter(learn).join(labels.filter(learn), "doc_id")
+    model = toxicity.train(labelled.withColumnRenamed("doc_id", "id"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (~learn).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+def language_model(docs: DataFrame) -> language.Model:
+    learn = docs.filter(training(F.col("doc_id"), 5, 0))
+    return language.train(learn.select(F.col("doc_id").alias("id"), "text", "lang"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs.select("doc_id", "text"), language_model(docs))
+    return found.select(
+        "doc_id", (~training(F.col("doc_id"), 5, 0)).alias("held_out"), "lang_pred", "score", "languages", "shares"
+    )
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +120,8 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIG
 FROM s"""
 
 QUERIES = {
+    "op1_toxicity": (op1_toxicity, None),
+    "op2_language": (op2_language, None),
     "op3_decontaminate": (op3_decontaminate, OP3_SQL),
     "op6_packing": (op6_packing, None),
     "op9_warc": (op9_warc, OP9_SQL),
