@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabshift.llm import chat, decontaminate, language, packing, toxicity, warc
+from tabshift.llm import chat, decontaminate, language, packing, pseudonyms, quality, toxicity, warc
 from tabshift.llm.common import load, training
 
 
@@ -70,6 +70,16 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)"""
 
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality.quality(docs).drop("lang", "source")
+
+
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymise(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("n_private", F.size("private"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
@@ -123,6 +133,8 @@ QUERIES = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_language": (op2_language, None),
     "op3_decontaminate": (op3_decontaminate, OP3_SQL),
+    "op5_quality": (op5_quality, None),
+    "op7_pseudonyms": (op7_pseudonyms, None),
     "op6_packing": (op6_packing, None),
     "op9_warc": (op9_warc, OP9_SQL),
     "op10_chat": (op10_chat, OP10_SQL),

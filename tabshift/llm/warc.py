@@ -189,7 +189,8 @@ CHUNK_ROW = pa.schema(
 
 def read_archives(manifest: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The chunked record table of all archives in the manifest."""
-    files = manifest.select("path").repartition("path")
+    # a task for each archive; without a number few paths would be merged into one task
+    files = manifest.select("path").repartition(max(1, manifest.count()), "path")
 
     def run(batches):
         system, _ = fs.FileSystem.from_uri(folder)
