@@ -230,12 +230,13 @@ def key_of(spark: SparkSession) -> str:
 def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, found: str = "private") -> DataFrame:
     """`docs` with values replaced in `text`, and under a free name an array of
     (kind, start, end, pseudonym) with character positions in the old text."""
-    cipher = Cipher(key or key_of(docs.sparkSession))
+    secret = key or key_of(docs.sparkSession)
     new, spans = fresh(docs.columns, "new_text", found)
     span = T.StructType.fromDDL("kind string, start int, end int, pseudonym string")
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("pseudonym", pa.string())]))
 
     def run(batches):
+        cipher = Cipher(secret)
         for part in slices(batches, text):
             texts = column(part, text)
             # every kind has a digit or an @; RE2 passes over the other texts
