@@ -88,3 +88,13 @@ def map_arrow(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
 
 def batch(names: list[str], *arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names)
+
+
+#: Bytes of a table that may be broadcast, by its counted rows.
+BROADCAST_BYTES = 32 << 20
+
+
+def checked_broadcast(table: DataFrame, row_bytes: int = 48) -> DataFrame:
+    """A written, narrow table with a broadcast hint where its counted rows are few
+    enough; beyond that the planner joins by shuffle."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table

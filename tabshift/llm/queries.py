@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabshift.llm import chat, decontaminate, language, packing, pseudonyms, quality, toxicity, warc
+from tabshift.llm import chat, decontaminate, jaccard, language, packing, pseudonyms, quality, toxicity, warc
 from tabshift.llm.common import load, training
 
 
@@ -84,6 +84,37 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(load(spark, sf_dir, "documents")).drop("n_classes")
+
+
+_BLACK = r"[^\x20\x09-\x0D]+"
+
+OP8_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '{_BLACK}') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [list_slice(w, p, p + 2) for p in range(1, len(w) - 1)]
+                                      WHEN len(w) > 0 THEN [w] ELSE [] END) AS g FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), f AS (
+  SELECT doc_id, g, n FROM s JOIN n USING (doc_id)
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM f a JOIN f b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), e AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT a AS doc_id, a AS other FROM e UNION SELECT r.doc_id, e.b FROM reach r JOIN e ON e.a = r.other
+), c AS (
+  SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archived_records(load(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -136,6 +167,7 @@ QUERIES = {
     "op5_quality": (op5_quality, None),
     "op7_pseudonyms": (op7_pseudonyms, None),
     "op6_packing": (op6_packing, None),
+    "op8_jaccard": (op8_jaccard, OP8_SQL),
     "op9_warc": (op9_warc, OP9_SQL),
     "op10_chat": (op10_chat, OP10_SQL),
 }
