@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabshift.llm import chat, decontaminate, jaccard, language, packing, pseudonyms, quality, toxicity, warc
+from tabshift.llm import chat, decontaminate, jaccard, language, packing, pseudonyms, quality, secrets, toxicity, warc
 from tabshift.llm.common import load, training
 
 
@@ -70,6 +70,12 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)"""
 
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    shown = F.concat(F.substring("candidate", 1, 4), F.lit("..."))
+    return found.select("doc_id", "position", shown.alias("shown"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "secret")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality.quality(docs).drop("lang", "source")
@@ -164,6 +170,7 @@ QUERIES = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_language": (op2_language, None),
     "op3_decontaminate": (op3_decontaminate, OP3_SQL),
+    "op4_secrets": (op4_secrets, None),
     "op5_quality": (op5_quality, None),
     "op7_pseudonyms": (op7_pseudonyms, None),
     "op6_packing": (op6_packing, None),
