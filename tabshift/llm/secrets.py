@@ -156,7 +156,8 @@ def features(words: list[tuple[str, int]]) -> dict[str, Column]:
     }
 
 
-FEATURES = list(features([]))
+FEATURES = """f_length f_digits f_upper f_lower f_other f_hex f_steps f_pairs f_entropy f_covered f_address f_named
+f_assigned f_quoted f_sample f_before f_after f_path_depth f_path_sample f_path_code""".split()
 
 
 def rule_labels() -> Column:
