@@ -23,7 +23,9 @@ _REAL_WORD = (
     rf"(?iU)(?:^|{_SEPARATOR})(?!(?:{'|'.join(MISSING_WORDS)})(?:{_SEPARATOR}|$))[^\s\-_/,.]"
 )
 _NUMBER = r"^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
-_WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
+_WHOLE = r"^\s*[+-]?\d+\s*$"
+# digits of the widest decimal
+_EXACT_DIGITS = 38
 
 
 def na_to_null(cell: Column) -> Column:
@@ -44,6 +46,11 @@ def is_whole(cell: Column) -> Column:
     return cell.rlike(_WHOLE)
 
 
+def to_whole(cell: Column) -> Column:
+    """A whole number of any width up to 38 digits, exactly; null for other text."""
+    return F.when(is_whole(cell), F.trim(cell).try_cast(f"decimal({_EXACT_DIGITS},0)"))
+
+
 def to_double(cell: Column) -> Column:
     """Number of a text cell; null for null and for text that is no number."""
     return F.when(is_number(cell), F.trim(cell).try_cast("double"))

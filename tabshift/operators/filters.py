@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import operator
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -11,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabshift.functions.cells import all_of, any_of, is_number, is_whole, to_double
+from tabshift.functions.cells import all_of, any_of, is_number, is_whole, to_double, to_whole
 from tabshift.functions.dates import parse_date
 from tabshift.functions.names import col
 from tabshift.specs import FilteringRules, FilterRule, SpecError
@@ -53,6 +54,19 @@ def _unreadable(cell: Column, field: str, kind: str) -> Column:
     )
 
 
+def _iso_date(rule: FilterRule) -> dt.date:
+    """YYYY-MM-DD alone: neither compact nor week dates."""
+    if isinstance(rule.value, dt.date) and not isinstance(rule.value, dt.datetime):
+        return rule.value
+    text = str(rule.value)
+    try:
+        if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", text):
+            raise ValueError
+        return dt.date.fromisoformat(text)
+    except ValueError:
+        raise SpecError(f"{rule.field}: {text!r} is no date YYYY-MM-DD") from None
+
+
 def predicate(rule: FilterRule) -> Predicate:
     compare = OPERATORS.get(rule.operator)
     if compare is None:
@@ -61,23 +75,32 @@ def predicate(rule: FilterRule) -> Predicate:
 
     if rule.field_format is not None:
         date = parse_date(cell, rule.field_format)
-        bound = F.lit(dt.date.fromisoformat(str(rule.value)))
+        bound = F.lit(_iso_date(rule))
         # a missing date cannot be parsed either
         problem = F.when(date.isNull(), _unreadable(cell, rule.field, f"a date {rule.field_format}"))
         return Predicate(compare(date, bound), problem)
 
     if _is_numeric(rule.value):
         number = to_double(cell)
-        keep = compare(number, F.lit(float(rule.value)))
-        if isinstance(rule.value, int) and abs(rule.value) < 1 << 62:
-            # whole numbers beyond 2**53 must not be compared as doubles
-            whole = compare(F.trim(cell).try_cast("bigint"), F.lit(rule.value).cast("bigint"))
-            keep = F.when(is_whole(cell), whole).otherwise(keep)
         bad = cell.isNotNull() & ~is_number(cell)
-        return Predicate(keep, F.when(bad, _unreadable(cell, rule.field, "a number")))
-
-    value = F.lit(rule.value) if isinstance(rule.value, str) else F.lit(str(rule.value))
-    return Predicate(compare(col(rule.field), value))
+        problem = F.when(bad, _unreadable(cell, rule.field, "a number"))
+        if isinstance(rule.value, int):
+            # whole numbers must not be compared as doubles, whatever their width; those
+            # that no decimal holds are refused rather than rounded
+            if abs(rule.value) >= 10**38:
+                raise SpecError(f"{rule.field}: {rule.value} has more than 38 digits")
+            whole = to_whole(cell)
+            wide = is_whole(cell) & whole.isNull()
+            problem = F.coalesce(problem, F.when(wide, _unreadable(cell, rule.field, "a number of at most 38 digits")))
+            keep = F.when(is_whole(cell), compare(whole, F.lit(str(rule.value)).cast("decimal(38,0)")))
+            return Predicate(keep.otherwise(compare(number, F.lit(float(rule.value)))), problem)
+        return Predicate(compare(number, F.lit(float(rule.value))), problem)
+
+    if isinstance(rule.value, str):
+        return Predicate(compare(col(rule.field), F.lit(rule.value)))
+    # any other kind of value, such as a flag, equals no text
+    never = F.lit(rule.operator == "!=")
+    return Predicate(never)
 
 
 def predicates(filtering: FilteringRules | None) -> list[Predicate]:

@@ -39,23 +39,26 @@ class MappingContext:
         self.needs_index = True
         return F.col(IDX)
 
-    def lookup(self, mapping: dict[str, str], key: Column) -> Column:
+    def lookup(self, mapping: dict[str, str | None], key: Column) -> tuple[Column, Column]:
+        """The entry of a key, and whether there is one: an entry may be missing text."""
+        if not mapping:
+            return F.lit(None).cast("string"), F.lit(False)
         if len(mapping) <= INLINE_MAP_ENTRIES:
-            entries = [F.lit(x) for pair in mapping.items() for x in pair]
-            return F.try_element_at(F.create_map(*entries), key) if entries else F.lit(None)
+            entries = [F.lit(x).cast("string") for pair in mapping.items() for x in pair]
+            found = F.coalesce(key.isin(*mapping), F.lit(False))
+            return F.try_element_at(F.create_map(*entries), key), found
         name = f"_lookup{len(self.lookups)}"
         table = self.spark.createDataFrame(
-            list(mapping.items()), f"{name}_key string, {name} string"
+            [(k, (v,)) for k, v in mapping.items()], f"{name}_key string, {name} struct<value:string>"
         )
         self.lookups.append((name, table, key))
-        return F.col(name)
+        return F.col(name)["value"], F.col(name).isNotNull()
 
     def attach(self, df: DataFrame) -> DataFrame:
         for name, table, key in self.lookups:
-            # as large as the dictionary written in the spec
-            df = df.join(F.broadcast(table), key == F.col(f"{name}_key"), "left").drop(
-                f"{name}_key"
-            )
+            # a dictionary written in a spec; the planner knows its size and sends it
+            # whole or shuffles it accordingly
+            df = df.join(table, key == F.col(f"{name}_key"), "left").drop(f"{name}_key")
         return df
 
 
@@ -104,9 +107,9 @@ def value_mapping(rule: MappingRule, context: MappingContext) -> Mapped:
     if wrong:
         raise SpecError(f"value_mapping to '{rule.target_field}': keys {wrong} are not text")
     cell = _single(rule)
-    value = context.lookup({k: str(v) for k, v in mapping.items()}, cell)
+    value, found = context.lookup({k: None if v is None else str(v) for k, v in mapping.items()}, cell)
     problem = F.when(
-        value.isNull(),
+        ~found,
         F.concat(
             F.lit("no value_mapping entry for "), _shown(cell),
             F.lit(f" in field '{rule.source_field}'"),
@@ -131,7 +134,7 @@ def date_format(rule: MappingRule, context: MappingContext) -> Mapped:
 def numbered(index: Column, start: int, increment: int, digits: int | None) -> Column:
     """`start + index*increment` as text, zero-padded but never truncated."""
     number = F.lit(start).cast("bigint") + index * F.lit(increment).cast("bigint")
-    if digits is None:
+    if not digits:
         return number.cast("string")
     return F.format_string(f"%0{int(digits)}d", number)
 

@@ -103,8 +103,12 @@ NOISE_MODELS: dict[str, NoiseModel] = {
 
 def row_identity(df: DataFrame, row_key: list[str] | None) -> Column:
     if row_key:
-        parts = [F.coalesce(col(k).cast("string"), F.lit("")) for k in row_key]
-        return F.concat_ws("|", *parts)
+        # with the length before each part, different keys are different texts
+        parts = []
+        for k in row_key:
+            text = col(k).cast("string")
+            parts.append(F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+        return F.concat(*parts)
     if not has_position(df):
         raise SpecError("noise needs a row position or a row_key")
     return F.col(POS).cast("string")
@@ -117,7 +121,8 @@ def apply_noise(
     models: dict[str, NoiseModel] | None = None,
 ) -> DataFrame:
     """Run the configured steps (NOI-4). A row is identified by its position, or
-    by `row_key` for tables without one (streams, unordered tables). No shuffle."""
+    by `row_key` for tables without one (streams, unordered tables); rows that repeat a
+    whole key share their draws. No shuffle."""
     models = models or NOISE_MODELS
     columns = [c for c in data_columns(df) if c not in config.excluded_columns]
     out = df.withColumn(ROW_ID, row_identity(df, row_key))

@@ -131,7 +131,7 @@ class DateDistribution(Strategy):
         return render_date(F.date_add(F.lit(fitted["low"]), offset), config.params["field_format"])
 
 
-_FIELD = re.compile(r"\{(?::0?(\d*)d?)?\}")
+_FIELD = re.compile(r"\{(?::(?:0(\d+))?d)?\}")
 
 
 class UniqueSequence(Strategy):

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabshift.functions.names import POS, col, has_position
-from tabshift.operators.filters import apply_filtering, filter_problems
+from tabshift.functions.cells import all_of
+from tabshift.operators.filters import apply_filtering, filter_problems, predicates
 from tabshift.operators.mappings import HANDLERS, Handler, Mapped, MappingContext
 from tabshift.operators.order import with_index
 from tabshift.specs import Schema, SpecError, Task
@@ -45,15 +46,8 @@ def _mapped_columns(
     return mapped
 
 
-def _project(df: DataFrame, mapped: dict[str, Mapped], strict: bool) -> DataFrame:
-    columns = []
-    for name, m in mapped.items():
-        value = m.value
-        if strict and m.problem is not None:
-            value = F.when(
-                m.problem.isNotNull(), F.raise_error(m.problem).cast("string")
-            ).otherwise(value)
-        columns.append(value.alias(name))
+def _project(df: DataFrame, mapped: dict[str, Mapped]) -> DataFrame:
+    columns = [m.value.alias(name) for name, m in mapped.items()]
     if has_position(df):
         columns.append(F.col(POS))
     return df.select(*columns)
@@ -63,14 +57,19 @@ def migrate(
     df: DataFrame, task: Task, schema: Schema, handlers: dict[str, Handler] | None = None
 ) -> DataFrame:
     """Expected table of a task (MAP-7); reading it fails on the first cell that
-    a rule cannot handle. One filter and one projection; only sequential numbers
-    add a shuffle. Columns nobody maps never leave the scan."""
+    a rule cannot handle, whichever columns are read: the check is a filter, which
+    no reader can prune, even one that only counts. One filter and one projection; only
+    sequential numbers add a shuffle. Columns nobody maps never leave the scan."""
     context = MappingContext(df.sparkSession)
     mapped = _mapped_columns(task, schema, handlers or HANDLERS, context)
     kept = context.attach(apply_filtering(df, task.business_rules.filtering))
+    problems = [m.problem for m in mapped.values() if m.problem is not None]
+    if problems:
+        first = F.coalesce(*problems)
+        kept = kept.filter(F.when(first.isNotNull(), F.raise_error(first).cast("boolean")).otherwise(True))
     if context.needs_index:
         kept = with_index(_needed(kept, task, context))
-    return _project(kept, mapped, strict=True)
+    return _project(kept, mapped)
 
 
 def _needed(df: DataFrame, task: Task, context: MappingContext) -> DataFrame:
@@ -85,33 +84,26 @@ def _needed(df: DataFrame, task: Task, context: MappingContext) -> DataFrame:
 def migrate_with_quarantine(
     df: DataFrame, task: Task, schema: Schema, handlers: dict[str, Handler] | None = None
 ) -> Migration:
-    """As `migrate`, but rows with unreadable cells are set aside whole."""
+    """As `migrate`, but rows with unreadable cells are set aside whole. Every row is
+    marked in one pass: what is wrong with it and whether the rules keep it."""
     context = MappingContext(df.sparkSession)
     mapped = _mapped_columns(task, schema, handlers or HANDLERS, context)
     rules = task.business_rules.filtering
 
     def texts(problems):
-        return F.filter(F.array(*problems), lambda p: p.isNotNull()) if problems else None
+        if not problems:
+            return F.array().cast("array<string>")
+        return F.filter(F.array(*problems), lambda p: p.isNotNull())
 
     unreadable = texts(filter_problems(rules))
     map_problems = texts([m.problem for m in mapped.values() if m.problem is not None])
-
-    kept = context.attach(apply_filtering(df, rules, on_error="skip"))
-    bad = []
-    if unreadable is not None:
-        bad.append(df.withColumn("_violations", unreadable).filter(F.size("_violations") > 0))
-    good = kept
-    if map_problems is not None:
-        flagged = kept.withColumn("_violations", map_problems)
-        wrong = flagged.filter(F.size("_violations") > 0)
-        bad.append(wrong.select(*[col(c) for c in df.columns], "_violations"))
-        good = flagged.filter(F.size("_violations") == 0).drop("_violations")
+    keep = F.coalesce(all_of([p.keep for p in predicates(rules)]), F.lit(False))
+    readable = F.size(unreadable) == 0
+    # a row that no rule keeps is not mapped, so its cells cannot be wrong
+    found = F.when(~readable, unreadable).when(keep, map_problems).otherwise(texts([]))
+    marked = context.attach(df).select("*", found.alias("_violations"), (readable & keep).alias("_keep"))
+    quarantine = marked.filter(F.size("_violations") > 0).select(*[col(c) for c in df.columns], "_violations")
+    good = marked.filter((F.size("_violations") == 0) & F.col("_keep"))
     if context.needs_index:
         good = with_index(_needed(good, task, context))
-    if bad:
-        quarantine = bad[0]
-        for more in bad[1:]:
-            quarantine = quarantine.unionByName(more)
-    else:
-        quarantine = df.withColumn("_violations", F.array().cast("array<string>")).filter(F.lit(False))
-    return Migration(_project(good, mapped, strict=False), quarantine)
+    return Migration(_project(good, mapped), quarantine)

@@ -7,7 +7,7 @@ import io
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,18 +17,30 @@ from tabshift.functions.names import POS, col, data_columns, has_position
 DELIMITERS = ",;\t|"
 SNIFFED_CHARACTERS = 4096
 _ROW_BITS = 33
+_BAD = "_bad_record"
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
 # files that are numbered by a broadcast table; 200 bytes each
 _LISTED_FILES = 100_000
 
 
 def _head(spark: SparkSession, path: str) -> str:
-    """First characters of the (first) file."""
+    """First characters of the first file by path. A line has its line feed at least, so
+    as many lines as characters are always enough; longer ones are cut before they leave
+    their task."""
     try:
-        lines = spark.read.text(path).limit(64).collect()
+        files = spark.read.format("binaryFile").load(path).select("_metadata.file_path")
+        first = files.orderBy("file_path").first()
     except AnalysisException as exc:
         raise FileNotFoundError(path) from exc
-    return "\n".join(r[0] for r in lines)[:SNIFFED_CHARACTERS]
+    if first is None:
+        return ""
+    lines = spark.read.text(first[0]).select(F.substring("value", 1, SNIFFED_CHARACTERS))
+    head = ""
+    for n in (64, SNIFFED_CHARACTERS):
+        head = "\n".join(r[0] for r in lines.limit(n).collect())[:SNIFFED_CHARACTERS]
+        if len(head) == SNIFFED_CHARACTERS:
+            break
+    return head
 
 
 def sniff_delimiter(head: str) -> str:
@@ -55,6 +67,17 @@ def header_names(head: str, delimiter: str) -> list[str]:
     return names
 
 
+def _not_too_long(delimiter: str, n_columns: int) -> Column:
+    """Fails on a record with more fields than columns; true for any other. The parser
+    keeps the text of records with a wrong number of fields."""
+    unquoted = F.regexp_replace(_BAD, r'"(?:[^"]|"")*"', "")
+    too_long = F.regexp_count(unquoted, F.lit(re.escape(delimiter))) >= n_columns
+    error = F.concat(F.lit(f"more than {n_columns} fields in a row: "), F.substring(_BAD, 1, 200))
+    # the reader refuses to give the text of bad records alone, so a cell is read as well
+    cell_too = F.coalesce(F.length("c0"), F.lit(0)) >= 0
+    return F.when(F.col(_BAD).isNotNull() & too_long, F.raise_error(error).cast("boolean")).otherwise(cell_too)
+
+
 def _setting_bytes(spark: SparkSession, key: str) -> int:
     """Size setting such as `128MB` or `134217728b`."""
     number, unit = re.fullmatch(r"(\d+)([bkmg]?)i?b?", spark.conf.get(key).lower()).groups()
@@ -106,11 +129,12 @@ def _positioned(spark: SparkSession, path: str, raw: DataFrame, names: list[str]
 
 
 def read_table(
-    spark: SparkSession, path: str, *, multi_line: bool = False, delimiter: str | None = None
+    spark: SparkSession, path: str, *, multi_line: bool = True, delimiter: str | None = None
 ) -> DataFrame:
     """Lazy all-text table with positions; missing-value texts are null. A
-    missing path raises FileNotFoundError. Set `multi_line` only for files with
-    line breaks inside quotes: such files cannot be split over tasks."""
+    missing path raises FileNotFoundError. Rows with too few fields are padded, rows with
+    too many fail the read. Quoted cells may hold line breaks, so a file is read by one
+    task; `multi_line=False` splits large files, for tables known to have no such cell."""
     head = _head(spark, path)
     delimiter = delimiter or sniff_delimiter(head)
     names = header_names(head, delimiter)
@@ -118,7 +142,7 @@ def read_table(
         return spark.createDataFrame([], T.StructType([T.StructField(POS, T.LongType())]))
     # positional stand-ins keep names with dots and quotes out of the reader
     plain = [f"c{i}" for i in range(len(names))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in plain])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*plain, _BAD]])
     raw = (
         spark.read.schema(schema)
         .option("header", True)
@@ -130,9 +154,12 @@ def read_table(
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .option("enforceSchema", True)
+        .option("columnNameOfCorruptRecord", _BAD)
+        # a parser that skips columns does not notice that a row has too many
+        .option("columnPruning", False)
         .csv(path)
     )
-    placed = _positioned(spark, path, raw, plain)
+    placed = _positioned(spark, path, raw.filter(_not_too_long(delimiter, len(plain))), plain)
     return placed.select(*[na_to_null(F.col(c)).alias(n) for c, n in zip(plain, names)], POS)
 
 
@@ -141,14 +168,17 @@ def write_table(df: DataFrame, path: str) -> None:
     files are in order, so reading the folder back gives the same sequence."""
     names = data_columns(df)
     ordered = df.orderBy(POS) if has_position(df) else df
+    # a missing cell that is a whole row would be a blank line, which readers skip
+    lone = len(names) == 1
+    cells = [F.coalesce(col(c), F.lit("")).alias(c) if lone else col(c) for c in names]
     (
-        ordered.select(*[col(c) for c in names])
+        ordered.select(*cells)
         .write.mode("overwrite")
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("nullValue", "")
-        .option("emptyValue", "")
+        .option("emptyValue", '""' if lone else "")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)

@@ -403,7 +403,11 @@ _LINE_SCHEMA = schema(
 )
 _LINE_NOISE = noise(13, ["order no."], ("missing_value", 0.01))
 _LINE_NAMES = ["order no.", "part no.", "line", "ship date"]
-_LINE_RID = """ "order no." || '|' || "part no." || '|' || line || '|' || "ship date" """
+_LINE_RID = """
+    length("order no.") || ':' || "order no."
+    || length("part no.") || ':' || "part no."
+    || length(line) || ':' || line
+    || length("ship date") || ':' || "ship date" """
 
 
 def validate_values(spark, sf_dir):

@@ -168,7 +168,11 @@ UNION ALL SELECT 'segment', count(DISTINCT segment) FROM synth WHERE segment IN
 
 _CUSTOMER_COLUMNS = ["cust no", "cust.name", "nation", "balance", "segment"]
 _LINE_COLUMNS = ["order no.", "part no.", "supplier no", "line", "price", "return flag", "status", "ship date"]
-_LINE_RID = """ "order no." || '|' || "part no." || '|' || "supplier no" || '|' || line """
+_LINE_RID = """
+    length("order no.") || ':' || "order no."
+    || length("part no.") || ':' || "part no."
+    || length("supplier no") || ':' || "supplier no"
+    || length(line) || ':' || line """
 
 TYPO = noise(1, ["cust no"], ("typo", 0.5))
 MISSING = noise(2, ["cust no"], ("missing_value", 0.25))
