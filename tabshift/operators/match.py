@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tabshift.functions.cells import fingerprint
 from tabshift.functions.names import POS, col, data_columns
 from tabshift.session import cut_lineage
+from tabshift.specs import SpecError
 
 # one round looks up subsets of several sizes as long as it stays below both
 ROUND_SUBSETS = 256
@@ -35,7 +36,10 @@ ARRAY_SUBSETS = 2048
 # below this number of lookups a single key cannot overload a task
 SALT_FROM_LOOKUPS = 20_000_000
 HOT_KEY_LOOKUPS = 1_000_000
-SALTS = 32
+# rows that a salted copy of a key serves
+ROWS_PER_SALT = 1_000_000
+# bits of a column subset in a bigint
+MASK_COLUMNS = 62
 # fingerprint of a projection
 KEY = ["_k1", "_k2"]
 # wanted keys (16 bytes each) that are sent to every task to thin out the index
@@ -89,15 +93,14 @@ def _lookup(left: DataFrame, index: DataFrame, lookups: int) -> DataFrame:
     if lookups < SALT_FROM_LOOKUPS:
         return left.join(index, KEY)
     counts = left.groupBy(*KEY).count().filter(F.col("count") >= HOT_KEY_LOOKUPS)
-    # proven bound: at most lookups / HOT_KEY_LOOKUPS keys of 16 bytes
-    hot = F.broadcast(counts.select(*KEY, F.lit(True).alias("_hot")))
-    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
-    salt = F.when(is_hot, F.pmod(F.xxhash64("_t"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    spread = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_left = left.join(hot, KEY, "left").withColumn("_salt", salt).drop("_hot")
-    salted_index = (
-        index.join(hot, KEY, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
-    )
+    # at most lookups / HOT_KEY_LOOKUPS keys; the planner knows whether they can be sent
+    salts = F.ceil(F.col("count") / ROWS_PER_SALT).cast("int")
+    hot = cut_lineage(counts.select(*KEY, salts.alias("_salts")))
+    n = F.coalesce(F.col("_salts"), F.lit(1))
+    salt = F.pmod(F.xxhash64("_t"), n).cast("int")
+    salted_left = left.join(hot, KEY, "left").withColumn("_salt", salt).drop("_salts")
+    spread = F.explode(F.sequence(F.lit(0), n - 1))
+    salted_index = index.join(hot, KEY, "left").withColumn("_salt", spread).drop("_salts")
     return salted_left.join(salted_index, [*KEY, "_salt"]).drop("_salt")
 
 
@@ -143,6 +146,18 @@ def _with_live_columns(left: DataFrame, right: DataFrame, cells: list[str], rows
     return cut_lineage(left.join(seen, "_t", "left").na.fill(0, ["_live"]))
 
 
+def _settle_whole_rows(left: DataFrame, right: DataFrame, cells: list[str], rows: int):
+    """Truth rows that occur whole in the output with the first place where they do, and
+    the other rows. Needs no subsets, so it works for any number of columns."""
+    keyed = lambda df, name: df.select(name, *[c.alias(k) for c, k in zip(fingerprint([F.col(x) for x in cells]), KEY)])
+    index = keyed(right, "_o").groupBy(*KEY).agg(F.min("_o").alias("output_pos"))
+    found = _lookup(keyed(left, "_t"), index, rows).select("_t", "output_pos")
+    scored = cut_lineage(left.join(found, "_t", "left"))
+    whole = F.lit(len(cells)).cast("bigint").alias("matched")
+    done = scored.filter("output_pos is not null").select("_t", whole, "output_pos")
+    return done, scored.filter("output_pos is null").drop("output_pos")
+
+
 def best_match(truth: DataFrame, output: DataFrame) -> DataFrame | None:
     """(truth_pos, output_pos, matched) for every truth row; None if the column
     lists differ. Without any equal cell the first output row is taken, and
@@ -158,6 +173,13 @@ def best_match(truth: DataFrame, output: DataFrame) -> DataFrame | None:
     largest = len(columns)
 
     settled: list[DataFrame] = []
+    if largest > MASK_COLUMNS:
+        done, left = _settle_whole_rows(left, right, cells, rows)
+        settled.append(done)
+        rows = left.count()
+        largest -= 1
+        if rows:
+            raise SpecError(f"rows that differ can be matched over at most {MASK_COLUMNS} columns")
     while largest and rows:
         sizes = next_sizes(len(columns), largest, total)
         found = _found(left, right, cells, sizes, rows)

@@ -30,9 +30,12 @@ def with_index(df: DataFrame, name: str = IDX) -> DataFrame:
     group = F.shiftright(F.col(POS), _ROW_BITS)
     super_group = F.shiftright(F.col("_g"), _GROUP_BITS)
 
-    counts = df.groupBy(group.alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per 2**16 positions, written: the input is read once for it, by its
+    # position column alone, and once for the rows
+    counts = cut_lineage(df.groupBy(group.alias("_g")).agg(F.count(F.lit(1)).alias("_n")))
     super_counts = counts.groupBy(super_group.alias("_s")).agg(F.sum("_n").alias("_n"))
-    # at most 2**27 rows, one per 2**36 positions; usually a handful
+    # at most 2**27 rows, one per 2**36 positions: a handful for ranks and keys, one per
+    # 8 splits for CSV scans, whose positions leave 2**33 numbers to each split
     super_offsets = super_counts.select(
         "_s", _before(Window.partitionBy(F.lit(0)).orderBy("_s")).alias("_super_offset")
     )

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from tabshift.operators.noise import apply_noise
 from tabshift.operators.order import dense_positions
 from tabshift.operators.synth import synthesize
 from tabshift.plans.migrate import migrate
+from tabshift.session import cut_lineage
 from tabshift.sources.bundle import (
     CLEAN_TABLE,
     NOISE_SPEC,
@@ -47,10 +47,11 @@ def derive_bundle(
     task: Task,
     target_schema: Schema,
 ) -> Bundle:
-    """The three tables as lazy plans over one source."""
+    """The three tables. Ranked source and clean table are written in between: fits,
+    labels, sequence numbers, dataset and truth each read them again."""
     if synthesis is None:
         raise SpecError("a synthesis configuration is required to publish source data")
-    clean = synthesize(dense_positions(source), synthesis)
+    clean = cut_lineage(synthesize(cut_lineage(dense_positions(source)), synthesis))
     return Bundle(clean, derive_dataset(clean, noise), migrate(clean, task, target_schema))
 
 
@@ -66,13 +67,9 @@ def build_package(spark: SparkSession, root: str) -> Package:
     synthesis = synthesis_spec(spark, root)
     noise = read_optional_spec(spark, f"{root}/{NOISE_SPEC}", NoiseConfiguration)
 
-    source = dense_positions(required_table(spark, f"{root}/{SOURCE_TABLE}"))
+    source = cut_lineage(dense_positions(required_table(spark, f"{root}/{SOURCE_TABLE}")))
     write_table(synthesize(source, synthesis), f"{root}/{CLEAN_TABLE}")
-    clean = dense_positions(required_table(spark, f"{root}/{CLEAN_TABLE}"))
-    clean = clean.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        write_table(derive_dataset(clean, noise), f"{root}/{task.input.source_dataset}")
-        write_table(migrate(clean, task, target_schema), f"{root}/{TRUTH_TABLE}")
-    finally:
-        clean.unpersist()
+    clean = cut_lineage(dense_positions(required_table(spark, f"{root}/{CLEAN_TABLE}")))
+    write_table(derive_dataset(clean, noise), f"{root}/{task.input.source_dataset}")
+    write_table(migrate(clean, task, target_schema), f"{root}/{TRUTH_TABLE}")
     return load_package(spark, root)

@@ -23,6 +23,7 @@ from tabshift.operators.compare import positional_diff
 from tabshift.operators.order import dense_positions
 from tabshift.plans.build import derive_dataset
 from tabshift.plans.migrate import migrate
+from tabshift.session import cut_lineage
 from tabshift.sources.bundle import CLEAN_TABLE, TRUTH_TABLE, Package, load_package, path_exists, read_spec
 from tabshift.specs import Task
 
@@ -78,7 +79,7 @@ def compare_rederived(expected: DataFrame, stored: DataFrame, code: str, table:
 
 def check_reproducible(package: Package) -> DataFrame:
     """Derive the dataset and the expected table again (VAL-11, VAL-12)."""
-    clean = dense_positions(package.clean_dataset)
+    clean = cut_lineage(dense_positions(package.clean_dataset))
     parts = [
         compare_rederived(
             derive_dataset(clean, package.noise), package.dataset, "dataset_not_reproducible", "dataset"

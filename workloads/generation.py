@@ -54,7 +54,7 @@ from workloads.tables import (
     suppliers,
 )
 
-SEED = 123
+SEED = 417
 IDENTITY = {"strategy": "identity"}
 
 
@@ -109,7 +109,7 @@ def _p(column, k, n):
 SYNTH_PROVIDER = f"""
 SELECT "cust no",
   {_w('company', 0, SURNAMES)} || ' ' || {_w('company', 1, SURNAMES)} || ' ' || {_w('company', 2, COMPANY_FORMS)} AS company,
-  lpad(CAST({_p('postcode', 0, 99000)} + 1000 AS VARCHAR), 5, '0') AS postcode,
+  lpad(CAST({_p('postcode', 0, 98200)} + 1000 AS VARCHAR), 5, '0') AS postcode,
   {_w('city', 0, CITIES)} AS city,
   {_w('street_name', 0, STREET_WORDS)} || {_w('street_name', 1, STREET_ENDINGS)} AS street_name,
   CAST({_p('building_number', 0, 250)} + 1 AS VARCHAR) AS building_number,
@@ -118,7 +118,7 @@ SELECT "cust no",
 FROM ({CUSTOMERS})"""
 
 SUPPLIER_SYNTHESIS = {
-    "supplier no": {"strategy": "unique_sequence", "format": "{:07d}", "start": 1000000},
+    "supplier no": {"strategy": "unique_sequence", "format": "{:08d}", "start": 26000000},
     "name 1": {"strategy": "faker", "provider": "company"},
     "country code": {"strategy": "identity"},
     "balance": {"strategy": "numeric_distribution"},
@@ -127,7 +127,7 @@ SUPPLIER_SYNTHESIS = {
 
 def clean_supplier_sql() -> str:
     return f"""
-SELECT CAST(1000000 + row_number() OVER (ORDER BY pos) - 1 AS VARCHAR) AS "supplier no",
+SELECT CAST(26000000 + row_number() OVER (ORDER BY pos) - 1 AS VARCHAR) AS "supplier no",
   {_w('name 1', 0, SURNAMES)} || ' ' || {_w('name 1', 1, SURNAMES)} || ' ' || {_w('name 1', 2, COMPANY_FORMS)} AS "name 1",
   "country code",
   {grid_sql(SEED, 'balance', f'({SUPPLIERS})', 'CAST(balance AS DECIMAL(12,2))', 2)} AS balance,
@@ -180,7 +180,7 @@ DUPLICATE = noise(3, [], ("duplicate", 0.3))
 TYPO_THEN_COPY = noise(4, ["cust no"], ("typo", 0.4), ("duplicate", 0.4))
 COPY_THEN_TYPO = noise(4, ["cust no"], ("duplicate", 0.4), ("typo", 0.4))
 LINES = noise(
-    5, LINEITEM_KEY, ("typo", 0.05), ("duplicate", 0.10), ("missing_value", 0.03), ("duplicate", 0.02)
+    5, LINEITEM_KEY, ("typo", 0.06), ("duplicate", 0.08), ("missing_value", 0.02), ("duplicate", 0.02)
 )
 
 
@@ -201,7 +201,7 @@ def noise_lineitem(spark, sf_dir):
     return apply_noise(lineitems(spark, sf_dir), LINES, row_key=LINEITEM_KEY)
 
 
-BUNDLE_NOISE = noise(42, ["supplier no", "country code"], ("typo", 0.05), ("duplicate", 0.10), ("missing_value", 0.03))
+BUNDLE_NOISE = noise(58, ["supplier no", "country code"], ("typo", 0.06), ("duplicate", 0.08), ("missing_value", 0.02))
 
 
 def build_bundle(spark, sf_dir):
@@ -274,7 +274,7 @@ UNION ALL
 SELECT 'dataset', {_row_text(_SUPPLIER_COLUMNS)}
 FROM ({noise_sql('clean', _SUPPLIER_COLUMNS, BUNDLE_NOISE)})
 UNION ALL
-SELECT 'truth', {_row_text(['bp_no', 'name', 'country', 'additional_info'])}
+SELECT 'truth', {_row_text(['partner_no', 'name', 'country', 'remark'])}
 FROM ({supplier_truth_sql('clean')})"""
 
 QUERIES = {
@@ -310,11 +310,11 @@ QUERIES = {
         _synth(
             parts,
             ["name"],
-            {"part no.": {"strategy": "unique_sequence", "format": "{:04d}-0000", "start": 9000}},
+            {"part no.": {"strategy": "unique_sequence", "format": "{:04d}-77", "start": 8200}},
         ),
-        f"""SELECT name, lpad(CAST(9000 + row_number() OVER (ORDER BY pos) - 1 AS VARCHAR),
-                   CAST(greatest(4, length(CAST(9000 + row_number() OVER (ORDER BY pos) - 1 AS VARCHAR))) AS INTEGER), '0')
-                   || '-0000' AS "part no." FROM ({PARTS})""",
+        f"""SELECT name, lpad(CAST(8200 + row_number() OVER (ORDER BY pos) - 1 AS VARCHAR),
+                   CAST(greatest(4, length(CAST(8200 + row_number() OVER (ORDER BY pos) - 1 AS VARCHAR))) AS INTEGER), '0')
+                   || '-77' AS "part no." FROM ({PARTS})""",
     ),
     "synth_category": (
         _synth(

@@ -132,7 +132,7 @@ FROM ({CUSTOMERS})"""
 
 def map_value_large(spark, sf_dir):
     """A dictionary above the inline limit becomes a hash join."""
-    names = {f"{i // 10}.{i % 10}0": f"G{i % 7}" for i in range(9000, 10000)}
+    names = {f"{i // 10}.{i % 10}0": f"G{i % 7}" for i in range(8200, 10000)}
     t = task("PRICES", None, [rule("part no.", "id", "copy"), rule("price", "price group", "value_mapping", mapping=names)])
     return migrate(parts(spark, sf_dir), t, schema("PRICES", "id", "price group")).drop(POS)
 
@@ -149,7 +149,7 @@ def map_sequence(spark, sf_dir):
         {"field": "priority", "operator": "==", "value": "1-URGENT"},
         [
             rule("order no.", "id", "copy"),
-            rule("order no.", "number", "sequential_number", start=20000000, digits=10),
+            rule("order no.", "number", "sequential_number", start=70400000, digits=10),
             rule("order no.", "stepped", "sequential_number", start=7, increment=3),
         ],
     )
@@ -158,7 +158,7 @@ def map_sequence(spark, sf_dir):
 
 MAP_SEQUENCE = f"""
 SELECT "order no." AS id,
-       format('{{:010d}}', 20000000 + row_number() OVER (ORDER BY pos) - 1) AS number,
+       format('{{:010d}}', 70400000 + row_number() OVER (ORDER BY pos) - 1) AS number,
        CAST(7 + 3 * (row_number() OVER (ORDER BY pos) - 1) AS VARCHAR) AS stepped
 FROM ({ORDERS}) WHERE priority = '1-URGENT'"""
 

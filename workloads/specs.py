@@ -114,7 +114,7 @@ ORDER_TASK = task(
     "ORDERS",
     {"field": "order date", "operator": ">=", "value": "1997-01-01", "field_format": "DD.MM.YYYY"},
     [
-        rule("order no.", "doc_no", "sequential_number", start=20000000, increment=1, digits=10),
+        rule("order no.", "doc_no", "sequential_number", start=70400000, increment=1, digits=10),
         rule("order no.", "old_no", "copy"),
         rule(["cust no", "status"], "partner", "concatenate", separator="-"),
         rule("priority", "urgency", "value_mapping", mapping=PRIORITIES),
@@ -131,7 +131,7 @@ ORDER_COLUMNS = ["doc_no", "old_no", "partner", "urgency", "doc_date", "amount"]
 
 def order_truth_sql(source: str) -> str:
     return f"""
-SELECT format('{{:010d}}', 20000000 + row_number() OVER (ORDER BY pos) - 1) AS doc_no,
+SELECT format('{{:010d}}', 70400000 + row_number() OVER (ORDER BY pos) - 1) AS doc_no,
        "order no." AS old_no, "cust no" || '-' || status AS partner,
        {case_sql('priority', PRIORITIES)} AS urgency,
        strftime(strptime("short date", '%d.%m.%y'), '%d%m%Y') AS doc_date, total AS amount, pos
@@ -142,48 +142,48 @@ SUPPLIER_TASK = task(
     "SUPPLIERS",
     {"rules": [{"field": "balance", "operator": ">", "value": 0.5}, {"field": "country code", "operator": "!=", "value": "N7"}]},
     [
-        rule("supplier no", "bp_no", "sequential_number", start=20000000, digits=10),
+        rule("supplier no", "partner_no", "sequential_number", start=70400000, digits=10),
         rule("name 1", "name", "copy"),
         rule("country code", "country", "value_mapping", mapping=NATIONS),
-        rule("supplier no", "additional_info", "copy"),
+        rule("supplier no", "remark", "copy"),
     ],
 )
 SUPPLIER_SCHEMA = schema(
-    "BP", "bp_no", "name", "country", "city", "additional_info",
-    required=("bp_no", "name", "country"), unique=("bp_no",),
+    "BP", "partner_no", "name", "country", "city", "remark",
+    required=("partner_no", "name", "country"), unique=("partner_no",),
 )
 
 
 def supplier_truth_sql(source: str) -> str:
     return f"""
-SELECT format('{{:010d}}', 20000000 + row_number() OVER (ORDER BY pos) - 1) AS bp_no,
+SELECT format('{{:010d}}', 70400000 + row_number() OVER (ORDER BY pos) - 1) AS partner_no,
        "name 1" AS name, {case_sql('"country code"', NATIONS)} AS country,
-       "supplier no" AS additional_info, pos
+       "supplier no" AS remark, pos
 FROM {source} WHERE CAST(balance AS DOUBLE) > 0.5 AND "country code" IS DISTINCT FROM 'N7'"""
 
 
 PART_TASK = task(
     "PARTS",
-    {"field": "part status", "operator": "<=", "value": 25},
+    {"field": "size class", "operator": "<=", "value": 25},
     [
-        rule("part no.", "erp no", "sequential_number", start=30000000000, increment=10, digits=11),
+        rule("part no.", "item code", "sequential_number", start=51704000000, increment=10, digits=11),
         rule(["part no.", "name"], "description", "concatenate", separator=" "),
         rule("item type", "material type", "value_mapping", mapping=SIZES),
         rule("brand", "maker", "copy"),
     ],
 )
 PART_SCHEMA = schema(
-    "MAT", "erp no", "description", "material type", "maker",
-    required=("erp no", "description"), unique=("erp no",),
+    "MAT", "item code", "description", "material type", "maker",
+    required=("item code", "description"), unique=("item code",),
 )
 
 
 def part_truth_sql(source: str) -> str:
     return f"""
-SELECT format('{{:011d}}', 30000000000 + 10 * (row_number() OVER (ORDER BY pos) - 1)) AS "erp no",
+SELECT format('{{:011d}}', 51704000000 + 10 * (row_number() OVER (ORDER BY pos) - 1)) AS "item code",
        "part no." || ' ' || name AS description, {case_sql('"item type"', SIZES)} AS "material type",
        brand AS maker
-FROM {source} WHERE CAST("part status" AS BIGINT) <= 25"""
+FROM {source} WHERE CAST("size class" AS BIGINT) <= 25"""
 
 
 def noise(seed: int, excluded: list[str], *steps: tuple[str, float]) -> NoiseConfiguration:
@@ -198,7 +198,7 @@ def noise(seed: int, excluded: list[str], *steps: tuple[str, float]) -> NoiseCon
 
 
 CUSTOMER_NOISE = noise(
-    42, ["cust no", "segment", "balance"], ("typo", 0.05), ("duplicate", 0.10), ("missing_value", 0.03)
+    42, ["cust no", "segment", "balance"], ("typo", 0.06), ("duplicate", 0.08), ("missing_value", 0.02)
 )
 ORDER_NOISE = noise(
     7,

@@ -63,7 +63,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("name"),
         F.col("p_brand").alias("brand"),
         F.col("p_type").alias("item type"),
-        F.col("p_size").cast("string").alias("part status"),
+        F.col("p_size").cast("string").alias("size class"),
         money("p_retailprice").alias("price"),
         F.col("p_partkey").alias(POS),
     )
@@ -71,7 +71,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PARTS = """
 SELECT CAST(p_partkey AS VARCHAR) AS "part no.", p_name AS name, p_brand AS brand,
-       p_type AS "item type", CAST(p_size AS VARCHAR) AS "part status",
+       p_type AS "item type", CAST(p_size AS VARCHAR) AS "size class",
        CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) AS price, p_partkey AS pos
 FROM part"""
 
