@@ -447,3 +447,30 @@ def test_streams_cannot_be_numbered(spark, table):
     rules = task("T", None, [rule("k", "n", "sequential_number", start=1)])
     with pytest.raises(SpecError, match="stream"):
         migrate_stream(table(["k"], [["1"]]), rules, schema("S", "n"))
+
+
+def test_csv_keeps_line_breaks_lone_columns_and_refuses_long_rows(spark, table, rows, tmp_path):
+    lines = table(["a", "b"], [["x\ny", '"q"'], [None, "z"], ["", "1"]])
+    write_table(lines, f"{tmp_path}/lines")
+    assert rows(read_table(spark, f"{tmp_path}/lines")) == [("x\ny", '"q"'), (None, "z"), (None, "1")]
+    lone = table(["a"], [["x"], [None], ["y"]])
+    write_table(lone, f"{tmp_path}/lone")
+    assert rows(read_table(spark, f"{tmp_path}/lone")) == [("x",), (None,), ("y",)]
+    (tmp_path / "short.csv").write_text('a,b\n1\n2,"3,4"\n')
+    assert rows(read_table(spark, f"{tmp_path}/short.csv")) == [("1", None), ("2", "3,4")]
+    (tmp_path / "long.csv").write_text("a,b\n1,2\n3,4,5\n")
+    for read in (lambda df: df.count(), lambda df: df.select("a").collect()):
+        with pytest.raises(Exception, match="more than 2 fields"):
+            read(read_table(spark, f"{tmp_path}/long.csv"))
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from tabshift.session import shared_base
+
+    no_folder = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://m:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: no_folder)))
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_base(session)

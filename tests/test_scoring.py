@@ -11,6 +11,7 @@ from tabshift.operators.compare import multiset_overlap, positional_diff, row_mu
 from tabshift.operators.match import best_match, next_sizes
 from tabshift.operators.metrics import METRICS, Scoring, reproduction_score
 from tabshift.plans.evaluate import evaluate, failed_run, score
+from tabshift.specs import SpecError
 from workloads.specs import noise, rule, task
 
 
@@ -249,3 +250,11 @@ def test_metrics_can_be_replaced(damaged):
 
     results = score(Scoring(output=damaged["truth"], **damaged), {"rows": rows_found})
     assert [(m.name, m.score) for m in results] == [("rows", 2.0)]
+
+
+def test_whole_rows_match_at_any_width(table):
+    names = [f"c{i}" for i in range(64)]
+    rows = [[f"v{i}{k}" for i in range(64)] for k in range(3)]
+    assert matched(best_match(table(names, rows), table(names, rows[::-1]))) == [(0, 2, 64), (1, 1, 64), (2, 0, 64)]
+    with pytest.raises(SpecError, match="at most 62 columns"):
+        best_match(table(names, rows), table(names, rows[1:]))
