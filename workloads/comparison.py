@@ -12,6 +12,7 @@ from tabshift.operators.checks import (
     unique_issues,
 )
 from tabshift.operators.compare import multiset_overlap, positional_diff, row_multiset
+from tabshift.operators.filters import apply_filtering
 from tabshift.operators.match import best_match
 from tabshift.operators.metrics import (
     Scoring,
@@ -28,6 +29,7 @@ from tabshift.operators.metrics import (
 )
 from tabshift.operators.noise import apply_noise
 from tabshift.operators.order import first_per_key, first_seen, with_index
+from tabshift.operators.synth import STRATEGIES
 from tabshift.plans.evaluate import evaluate
 from tabshift.plans.migrate import migrate
 from tabshift.plans.validate import compare_rederived, validate_package
@@ -48,6 +50,7 @@ from workloads.specs import (
     order_truth_sql,
     rule,
     schema,
+    synthesis,
     task,
 )
 from workloads.tables import CUSTOMERS, LINEITEMS, ORDERS, customers, lineitems, orders
@@ -283,7 +286,7 @@ SELECT "cust no", source_field, target_field FROM changed JOIN (VALUES
 def join_positional(spark, sf_dir):
     """The i-th kept clean order with the i-th row of the expected table."""
     clean = orders(spark, sf_dir)
-    kept = with_index(clean.filter(F.to_date(col("order date"), "dd.MM.yyyy") >= "1997-01-01"))
+    kept = with_index(apply_filtering(clean, ORDER_TASK.business_rules.filtering))
     truth = with_index(migrate(clean, ORDER_TASK, ORDER_SCHEMA))
     return kept.join(truth.drop(POS), "_idx").select(
         F.col("_idx").alias("row_index"), col("order no."), "doc_no", "old_no"
@@ -312,18 +315,26 @@ def best_match_orders(spark, sf_dir):
 
 
 def fit_stats(spark, sf_dir):
+    """What the numeric and the date strategy learn of a column, in one aggregation."""
+    config = synthesis(
+        1,
+        **{
+            "total": {"strategy": "numeric_distribution"},
+            "order date": {"strategy": "date_distribution", "field_format": "DD.MM.YYYY"},
+        },
+    )
+    number, day = (STRATEGIES[c.strategy].fit(c) for c in config.columns)
     return orders(spark, sf_dir).agg(
-        F.min(F.col("total").cast("decimal(12,2)")).cast("string").alias("low"),
-        F.max(F.col("total").cast("decimal(12,2)")).cast("string").alias("high"),
-        F.max(F.length(F.regexp_extract("total", r"^-?\d+\.(\d+)$", 1))).cast("bigint").alias("places"),
-        F.min(F.to_date(col("order date"), "dd.MM.yyyy")).cast("string").alias("first_day"),
-        F.max(F.to_date(col("order date"), "dd.MM.yyyy")).cast("string").alias("last_day"),
+        *(number[k].cast("decimal(12,2)").cast("string").alias(k) for k in ("low", "high")),
+        number["places"].cast("bigint").alias("places"),
+        day["low"].cast("string").alias("first_day"),
+        day["high"].cast("string").alias("last_day"),
     )
 
 
 def value_counts(spark, sf_dir):
-    df = lineitems(spark, sf_dir)
-    return df.groupBy(col("return flag").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    df = lineitems(spark, sf_dir).withColumn(POS, col("order no.").cast("bigint") * 8 + F.col("line").cast("bigint"))
+    return first_seen(df, "return flag").select("label", "n")
 
 
 def first_seen_order(spark, sf_dir):
@@ -334,21 +345,21 @@ def first_seen_order(spark, sf_dir):
 
 
 def row_multiset_lines(spark, sf_dir):
-    df = lineitems(spark, sf_dir).select(col("supplier no"), col("return flag"), "status")
-    return row_multiset(df)
+    """Whole rows, each line item twice but for the first line of an order."""
+    df = lineitems(spark, sf_dir)
+    return row_multiset(df.unionAll(df.filter("line <> '1'")))
 
 
 def multiset_overlap_orders(spark, sf_dir):
-    """Order priorities per customer against those of the damaged copy."""
+    """Whole orders against those of the damaged copy."""
     s = _order_scoring(spark, sf_dir)
-    names = [col("cust no"), col("priority")]
-    return multiset_overlap(s.clean.select(*names), s.noisy.select(*names))
+    return multiset_overlap(s.clean, s.noisy)
 
 
 MULTISET_OVERLAP = f"""{_ORDER_WITH}
 SELECT (SELECT count(*) FROM clean) AS left_rows, (SELECT count(*) FROM noisy) AS right_rows,
-  (SELECT count(*) FROM (SELECT "cust no", priority FROM clean
-   INTERSECT ALL SELECT "cust no", priority FROM noisy)) AS matched_rows"""
+  (SELECT count(*) FROM (SELECT * EXCLUDE (pos) FROM clean
+   INTERSECT ALL SELECT * EXCLUDE (pos) FROM noisy)) AS matched_rows"""
 
 
 def dup_keys(spark, sf_dir):
@@ -556,7 +567,8 @@ QUERIES = {
     ),
     "row_multiset": (
         row_multiset_lines,
-        f"""SELECT "supplier no", "return flag", status, count(*) AS n FROM ({LINEITEMS}) GROUP BY ALL""",
+        f"""SELECT *, count(*) AS n FROM (
+            SELECT * FROM ({LINEITEMS}) UNION ALL SELECT * FROM ({LINEITEMS}) WHERE line <> '1') GROUP BY ALL""",
     ),
     "multiset_overlap": (multiset_overlap_orders, MULTISET_OVERLAP),
     "dup_keys": (
