@@ -2,6 +2,7 @@
 whole catalogue is compared outside of the unit tests)."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -13,7 +14,10 @@ TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events")
 
 
 def test_every_query_has_sql():
-    assert set(catalogue.oracle_sql()) == set(catalogue.queries())
+    """But for operators on training data, some of which SQL cannot express; these are held
+    against brute force in their own tests."""
+    queries = {n for n in catalogue.queries() if not re.match(r"op\d+_|pipeline$", n)}
+    assert queries <= set(catalogue.oracle_sql()) <= set(catalogue.queries())
 
 
 def test_queries_do_not_limit_their_input():
