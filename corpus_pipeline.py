@@ -15,6 +15,9 @@ from tabshift.llm.common import checked_broadcast, fresh, load, written
 from tabshift.llm.queries import language_model
 
 
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """`n_chars`, where there is one, follows a changed text; a null text keeps its value."""
     if "n_chars" not in docs.columns:
@@ -30,11 +33,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the least id, then the least text hash;
-    of repeated rows any one. Texts without words link with nothing and stay."""
+    """Near duplicates: five-word shingles, similarity 0.8. One document of each component
+    stays: the least id, then the least text hash; of repeated rows any one. Texts without
+    words link with nothing and stay."""
     key, repeated = fresh(docs.columns, "key", "key_again")
     own = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
-    found = written(jaccard.jaccard_components(docs.select(own.alias(key), "text"), id=key))
+    texts = docs.select(own.alias(key), "text")
+    found = written(jaccard.jaccard_components(texts, id=key, size=NEAR_WORDS, percent=NEAR_PERCENT))
     linked = found.filter("n_shingles > 0").select(F.col(key).alias(repeated), F.col(key).eqNullSafe(F.col("component_id")).alias("first"))
     gone = written(linked.filter(~F.col("first")).select(repeated).distinct())
     again = written(linked.filter("first").groupBy(repeated).count().filter("count > 1").select(repeated))

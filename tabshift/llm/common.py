@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tabshift.session import cut_lineage
 
 #: Text bytes handled at once inside a task; a longer single text is its own slice.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

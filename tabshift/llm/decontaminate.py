@@ -33,7 +33,7 @@ from tabshift.llm.text import ALNUM, Words, words
 
 WINDOW = 10
 SAMPLE = 16
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_WINDOWS = 100_000
 MAX_QUERY_BYTES = 256 << 20
 

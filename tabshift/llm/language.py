@@ -34,6 +34,8 @@ UNKNOWN = "und"
 BUCKETS = 1 << 16
 SMOOTHING = 0.05
 EM_ROUNDS = 6
+#: A byte of text needs some hundred bytes of numbers here.
+SLICE_BYTES = 1 << 20
 ALPHABET = 64  # bytes that may follow a pair, for smoothing
 
 _LETTER = np.zeros(256, bool)
@@ -87,7 +89,7 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model
 
     def count(batches):
         total = np.zeros((2, len(languages), BUCKETS), np.int64)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             g = grams(column(part, "text"))
             lang = np.array([number[x] for x in column(part, "lang").to_pylist()])
             of = np.repeat(lang[g.words.owner()], g.words.ends - g.words.starts + 1)
@@ -204,7 +206,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str
     added = [T.StructField(n, f.dataType) for n, f in zip(fresh(docs.columns, *names), OUT.fields, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE_BYTES):
             found = _predict(column(part, text), sent.value)
             yield pa.RecordBatch.from_arrays([*part.columns, *found], [*part.schema.names, *(f.name for f in added)])
 

@@ -46,7 +46,7 @@ def test_stages(spark, folder):
     assert single.columns == table.columns
     # rows of one id differ in text here, so the brute force numbers the rows
     left = [d for d in docs if re.search("[a-z]", d[1] or "")]
-    groups = {c for *_, c in components(list(enumerate(t for _, t in left)))}
+    groups = {c for *_, c in components(list(enumerate(t for _, t in left)), percent=80, size=5)}
     got = [(r["doc_id"], r["text"]) for r in single.collect()]
     assert len(got) == len(groups) and set(got) <= set(left)
     assert sum(t.startswith(texts()[0][20][1]) for _, t in got) == 1
