@@ -20,26 +20,25 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabshift.llm.common import column, map_arrow, slices, written
+from tabshift.llm.common import bytes_of, column, map_arrow, slices, written
 
 CAPACITY = 2048
 CLOSING_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Words whose ids a task remembers.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
+#: Punctuation that never joins a letter or digit before it.
+_TAIL = ".,!?;:%$*&#"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
-    try:
-        import public_tokenizers
-    except ImportError:  # the folder itself, where no module of that name is on the path
-        return os.path.join("/opt/tokenizers", name)
     return public_tokenizers.path(name)
 
 
@@ -50,7 +49,9 @@ class WordTokens:
     """Token ids of whole texts, word by word.
 
     The vocabulary drops white space and never joins across it, so a text's ids are its
-    white-space separated words' ids one after the other; each distinct word is encoded once."""
+    white-space separated words' ids one after the other. Nor does it join a letter or digit
+    with punctuation after it, and it has no capitals: a word's core in small letters and its
+    tail are encoded apart, each distinct one once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,7 +64,7 @@ class WordTokens:
         self.known: dict[str, int] = {}
         self.first, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
+    def _numbers(self, words: list[str], core: pa.Array, tail: pa.Array) -> tuple[np.ndarray, ...]:
         if len(self.known) > KNOWN_WORDS:
             self._clear()
         new = [w for w in words if w not in self.known]
@@ -74,14 +75,44 @@ class WordTokens:
             self.known.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
             self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
             self.flat = np.concatenate([self.flat, np.array([x for y in ids for x in y], np.uint32)])
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        place = pa.array(words, core.type)
+        return tuple(number[pc.index_in(part, place).to_numpy()] for part in (core, tail))
+
+    @staticmethod
+    def _parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Core and tail of distinct words. Words with the mark of a special token stay
+        as they are, and so do those whose core would not end in a letter or digit."""
+        special = pc.match_substring(words, "<|")
+        small = pc.if_else(special, words, pc.ascii_lower(words))
+        core = pc.utf8_rtrim(small, characters=_TAIL)
+        apart = pc.and_(pc.match_substring_regex(core, r"[\p{L}\p{N}]$"), pc.invert(special))
+        data, offsets = bytes_of(small)
+        size = pc.binary_length(core).to_numpy()
+        left = np.diff(offsets) - size
+        bounds = np.concatenate([[0], np.cumsum(left)])
+        tails = pa.LargeStringArray.from_buffers(
+            len(small), pa.py_buffer(bounds), pa.py_buffer(_gather(data, offsets[:-1] + size, left))
+        )
+        return pc.if_else(apart, core, small), pc.if_else(apart, tails, pa.scalar("", small.type))
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and n + 1 offsets."""
+        core, tail = self._parts(words)
+        numbers = self._numbers(pa.concat_arrays([core, tail]).unique().to_pylist(), core, tail)
+        # a word without a tail has the empty word there, which has no ids
+        both = np.stack(numbers, axis=1).ravel()
+        size = self.size[both]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return _gather(self.flat, self.first[both], size), ends[::2]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text closed by CLOSING_ID, and n + 1 offsets."""
         split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         flat = split.flatten().dictionary_encode()
-        word = self._numbers(flat.dictionary.to_pylist())[flat.indices.to_numpy()]
-        size = self.size[word]
+        known, at = self._of_words(flat.dictionary)
+        word = flat.indices.to_numpy()
+        size = np.diff(at)[word]
         ends = np.concatenate([[0], np.cumsum(size)])
         of_text = split.offsets.to_numpy() - split.offsets[0].as_py()
         counts = ends[of_text[1:]] - ends[of_text[:-1]]
@@ -89,10 +120,16 @@ class WordTokens:
         out = np.full(offsets[-1], CLOSING_ID, np.uint32)
         open_ = np.ones(len(out), bool)
         open_[offsets[1:] - 1] = False
-        out[open_] = self.flat[np.arange(ends[-1]) + np.repeat(self.first[word] - ends[:-1], size)]
+        out[open_] = _gather(known, at[word], size)
         return out, offsets
 
 
+def _gather(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of `values` by their first places and sizes, one after the other."""
+    ends = np.cumsum(size)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)]
+
+
 PIECES = "id {id}, piece int, start bigint, length bigint, ids_crc32 bigint, chunk int, nth bigint"
 
 

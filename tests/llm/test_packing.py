@@ -22,7 +22,8 @@ def ids_of(tokenizer, text):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
-TEXTS = ["Hello  World's it'll\tno", "<|endoftext|> Á b 123", "été\x1cx İ ΑΣ\x85q", "", "  ", "x" * 300, "a\nb", None]
+TEXTS = ["Hello  World's it'll\tno", "<|endoftext|> Á b 123", "été\x1cx İ ΑΣ\x85q", "", "  ", "x" * 300, "a\nb", None,
+         "The. THE, the!! <|endoftext|>. <|ENDOFTEXT|> a'S. x\u0302. 5%% é. [x]. K\u212a. ...", "A\u030a, Σ. ﬁ; ½. \u0301."]
 
 
 def test_words_give_the_ids_of_whole_texts(tokenizer):
