@@ -8,9 +8,12 @@ words beside it. It is trained from labelled findings; `rule_labels` gives such
 nobody has labelled any: clear assignments are secrets, numbers, addresses, links and words
 are not, and everything else stays unlabelled and is for the forest to judge.
 
-All of it is DataFrame functions and Spark's own forest. Dictionary, letter pairs and forest
-are fitted on bounded samples (`SAMPLE_DOCUMENTS`, `MAX_FINDINGS`, chosen by a hash);
-candidates are searched in all whole texts.
+All of it is DataFrame functions and Spark's own forest. Words are counted over all
+documents: the letter pairs are those of all words, the dictionary has each word with at
+least `WORD_SHARE` of all, so at most one over that share of them. A word is 2 to 20 letters
+of a text without its tokens that hold a digit: copies of a secret are not words. The forest
+is fitted on a bounded sample of findings (`MAX_FINDINGS`, chosen by a hash); candidates are
+searched in all whole texts.
 
 Defined cases: null and empty texts have no candidate; without labels of both kinds there is
 no forest and the score is 1 for candidates that the labels call secrets, else 0; repeated
@@ -19,7 +22,6 @@ rows give repeated findings; a null path is empty.
 
 from __future__ import annotations
 
-from collections import Counter
 from math import log
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -31,9 +33,7 @@ from pyspark.sql import functions as F
 from tabshift.llm.common import written
 
 LONG, SHORT = 16, 8
-SAMPLE_DOCUMENTS = 4000
-DICTIONARY_WORDS = 300
-PAIR_WORDS = 3000
+WORD_SHARE = 1e-4
 MAX_FINDINGS = 20_000
 TREES, DEPTH, SEED = 20, 6, 7
 THRESHOLD = 0.5
@@ -83,36 +83,72 @@ def candidates(docs: DataFrame, id: str = "doc_id", text: str = "text", path: st
 # ---------------------------------------------------------------- features
 
 
-def corpus_words(docs: DataFrame, id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
-    """The most frequent words of a bounded sample: a list of bounded length."""
-    draw = F.pmod(F.xxhash64(F.lit("secrets"), F.col(f"`{id}`")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    share = min(1.0, SAMPLE_DOCUMENTS / max(docs.count(), 1))
-    words = docs.filter(draw < share).select(F.explode(F.split(F.lower(F.col(f"`{text}`")), "[^a-z]+")).alias("word"))
-    counts = words.filter(F.length("word").between(2, 20)).groupBy("word").agg(F.count("*").alias("n"))
-    return [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(PAIR_WORDS).collect()]
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """word, n: all words of all documents, written."""
+    plain = F.regexp_replace(F.lower(F.col(f"`{text}`")), "(?<![^ \\t-\\r])[^ \\t-\\r0-9]*+[0-9][^ \\t-\\r]*+", " ")
+    words = docs.select(F.explode(F.split(plain, "[^a-z]+")).alias("word"))
+    return written(words.filter(F.length("word").between(2, 20)).groupBy("word").agg(F.count("*").alias("n")))
 
 
-def _pair_table(words: list[tuple[str, int]]) -> list[float]:
-    """Log probability of a letter after a letter, 26 x 26."""
-    pairs = Counter()
-    for word, n in words:
-        for a, b in zip(word, word[1:], strict=False):
-            pairs[a, b] += n
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    total = {a: sum(pairs[a, b] for b in letters) for a in letters}
-    return [log((pairs[a, b] + 1) / (total[a] + 26)) for a in letters for b in letters]
+def frequent_words(counts: DataFrame, share: float = WORD_SHARE) -> list[tuple[str, int]]:
+    """The words with at least this share of all: at most one over the share of them."""
+    least = share * (counts.agg(F.sum("n")).first()[0] or 0)
+    return [(r["word"], r["n"]) for r in counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").collect()]
+
+
+def corpus_words(docs: DataFrame, text: str = "text") -> list[tuple[str, int]]:
+    """The frequent words of all documents: a list of bounded length."""
+    return frequent_words(word_counts(docs, text))
 
 
-def features(words: list[tuple[str, int]]) -> dict[str, Column]:
+def letter_pairs(counts: DataFrame) -> dict[str, int]:
+    """How often a letter follows a letter in all words; at most 26 x 26 entries."""
+    pair = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.col("word").substr(i, F.lit(2)))
+    pairs = counts.select(F.explode(pair).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
+    return {r["pair"]: r["n"] for r in pairs.collect()}
+
+
+def _pair_table(pairs: dict[str, int]) -> list[float]:
+    """Log probability of a letter after a letter, 26 x 26."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    total = {a: sum(pairs.get(a + b, 0) for b in letters) for a in letters}
+    return [log((pairs.get(a + b, 0) + 1) / (total[a] + 26)) for a in letters for b in letters]
+
+
+def _any_of(words: list[str]) -> str:
+    """Pattern of the longest of the words at a place: beginnings in common stand once, so
+    its cost does not grow with their number."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for c in word:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        further = [c + pattern(at[c]) for c in sorted(at) if c]
+        if not further:
+            return ""
+        body = further[0] if len(further) == 1 and "" not in at else f"(?:{'|'.join(further)})"
+        return body + "?" if "" in at else body
+
+    return pattern(tree)
+
+
+def features(words: list[tuple[str, int]], pairs: dict[str, int] | None = None) -> dict[str, Column]:
+    """`words`: the dictionary. `pairs`: letter pairs of all words, else those of `words`."""
+    if pairs is None:
+        pairs = {}
+        for word, k in words:
+            for a, b in zip(word, word[1:], strict=False):
+                pairs[a + b] = pairs.get(a + b, 0) + k
     t, low = F.col("candidate"), F.lower("candidate")
     n = F.length(t).cast("double")
     share = lambda p: F.regexp_count(t, F.lit(p)) / n
     flag = lambda c: c.cast("double")
-    dictionary = sorted((w for w, _ in words if len(w) >= 4), key=lambda w: (-len(w), w))
-    frequent = {w for w, _ in [x for x in words if len(x[0]) >= 4][:DICTIONARY_WORDS]}
-    known = "|".join(w for w in dictionary if w in frequent)
+    known = _any_of([w for w, _ in words if len(w) >= 4])
     covered = 1 - F.length(F.regexp_replace(low, known, "")) / n if known else F.lit(0.0)
-    table = F.array(*map(F.lit, _pair_table(words)))
+    table = F.array(*map(F.lit, _pair_table(pairs)))
     plain = F.regexp_replace(low, "[^a-z]", "")
     fit = F.aggregate(
         F.sequence(F.lit(2), F.greatest(F.length(plain), F.lit(2))),
@@ -196,8 +232,8 @@ def scan(
 ) -> DataFrame:
     """All candidates with score and secret. `findings`: (id, position, label) where
     people have labelled some; else the rules label."""
-    words = corpus_words(docs, id, text)
-    found = candidates(docs, id, text, path).withColumns(features(words))
+    counts = word_counts(docs, text)
+    found = candidates(docs, id, text, path).withColumns(features(frequent_words(counts), letter_pairs(counts)))
     if findings is None:
         found = found.withColumn("label", rule_labels())
     else:

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -45,6 +46,37 @@ def test_labelled_findings_train_the_forest(spark):
     assert all(r["secret"] == r["candidate"].isdigit() for r in rows)
 
 
+def test_words_of_all_documents_count(spark):
+    """More documents than any sample, all under one id: the counts are those of all."""
+    docs = documents(spark, [(None, f"river stones river key{k}x9") for k in range(4500)])
+    counts = S.word_counts(docs)
+    assert dict(map(tuple, counts.collect())) == {"river": 9000, "stones": 4500} == dict(S.corpus_words(docs))
+    assert S.letter_pairs(counts) == {p: 9000 for p in ("ri", "iv", "ve", "er")} | {p: 4500 for p in ("st", "to", "on", "ne", "es")}
+
+
+def test_rare_languages_are_in_the_dictionary(spark):
+    """A source with 400 words of its own is nine tenths of the table."""
+    spell = lambda k: "".join(chr(97 + int(c)) for c in f"{k:06d}")
+    main = " ".join(spell(k) for k in range(400))
+    docs = documents(spark, [(k, main if k % 10 else "wolken himmel strasse") for k in range(100)])
+    row = spark.sql("select 'wolkenHimmelStrasse1' candidate, '' word, '' before, '' after, '' path")
+    covered = row.select(S.features(S.corpus_words(docs))["f_covered"]).first()[0]
+    assert covered == 19 / 20
+
+
+def test_copies_of_a_secret_are_no_words(spark):
+    docs = documents(spark, [(k, 'key = "qwhzptkd7fgwxkbvm" of the river') for k in range(50)])
+    assert {w for w, _ in S.corpus_words(docs)} == {"key", "of", "the", "river"}
+
+
+def test_dictionary_pattern_takes_the_longest_word():
+    words = ["over", "overt", "overtake", "river", "rivers", "take", "taken"]
+    for text in ("xovertakenrivers", "overtrivertak", "overtaketaken", "riveroverriv"):
+        plain = "|".join(sorted(words, key=len, reverse=True))
+        assert re.sub(S._any_of(words), "", text) == re.sub(plain, "", text)
+    assert S._any_of([]) == ""
+
+
 def test_awkward_rows(spark):
     secret = 'api_key="Zx9KqLm27TbvPo4WcRn8"'
     docs = [(1, None), (2, ""), (3, secret), (3, secret), (None, secret), (4, "word " * 50_000 + secret), (5, "password: hunter2x9 end"), (6, "token =")]
