@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import date
 from functools import lru_cache
 
@@ -114,13 +114,28 @@ def card(value: str, cipher: Cipher) -> str | None:
     return _refill(value, body + str(-luhn_total(body + "0") % 10))
 
 
-# Length of an account number by country.
+# Length of an account number by country, of all in the IBAN registry.
 IBAN_LENGTHS = {
-    "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27,
-    "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SK": 24,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
 
 
+def _iban_pattern() -> str:
+    """A country, check digits and just as many further characters as the country has."""
+    by_length: dict[int, list[str]] = {}
+    for country, n in IBAN_LENGTHS.items():
+        by_length.setdefault(n, []).append(country)
+    forms = (f"(?:{'|'.join(c)})\\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in by_length.items())
+    return rf"(?<!\w)(?=[A-Z]{{2}}\d{{2}})(?:{'|'.join(forms)})(?!\w)"
+
+
 def _mod97(country: str, check: str, body: str) -> int:
     return int("".join(str(int(c, 36)) for c in body + country + check)) % 97
 
@@ -190,10 +205,10 @@ def calendar(value: str, cipher: Cipher) -> str | None:
 KINDS: list[tuple[str, re.Pattern, Callable]] = [
     ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", re.A), email),
     ("ip", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)", re.A), ip),
-    ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A), iban),
+    ("iban", re.compile(_iban_pattern(), re.A), iban),
     ("card", re.compile(r"(?<!\w)\d{13,19}(?!\w)", re.A), card),
     ("card", re.compile(r"(?<!\w)(?:(?:\d{4}[ -]){3}\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)", re.A), card),
-    ("date", re.compile(r"(?<![\w.-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\w-])", re.A), calendar),
+    ("date", re.compile(r"(?<![\w.-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?:(?![\w-])|(?=T\d))", re.A), calendar),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A), ssn),
     ("phone", re.compile(r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)", re.A), phone),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?(?:\(\d{1,5}\)|\d{2,5})){2,5}(?!\w)", re.A), phone),
@@ -201,11 +216,22 @@ KINDS: list[tuple[str, re.Pattern, Callable]] = [
 ]
 
 
+def _valid(pattern: re.Pattern, change: Callable, text: str, cipher: Cipher) -> Iterator[tuple[int, int, str]]:
+    """start, end and pseudonym of a pattern's values. What fails its check hides none that
+    begins inside it."""
+    at = 0
+    while m := pattern.search(text, at):
+        new = change(m[0], cipher)
+        if new is not None:
+            yield m.start(), m.end(), new
+        at = m.start() + 1 if new is None else m.end()
+
+
 def find(text: str, cipher: Cipher) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of all values, in order, without overlaps."""
     found, open_ = [], text
     for kind, pattern, change in KINDS:
-        new = [(m.start(), m.end(), kind, p) for m in pattern.finditer(open_) if (p := change(m[0], cipher)) is not None]
+        new = [(a, b, kind, p) for a, b, p in _valid(pattern, change, open_, cipher)]
         if new:
             found += new
             open_ = replace(open_, [(a, b, kind, "\0" * (b - a)) for a, b, *_ in new])

@@ -52,6 +52,31 @@ def test_leaves_what_is_not_valid(text):
     assert found(text) == []
 
 
+@pytest.mark.parametrize(
+    ("value", "rest"),
+    [
+        ("ES91 2100 0418 4502 0005 1332", " BIC"), ("BE68 5390 0754 7034", " EUR"), ("ES9121000418450200051332", " IBAN"),
+        ("BE68539007547034", " 2024"), ("TR33 0006 1005 1978 6457 8413 26", " TRY"), ("MT84MALT011000012345MTLCAST001S", " X"),
+        ("AE070331234567890123456", " AED 100"),
+    ],
+)
+def test_account_numbers_end_where_their_country_says(value, rest):
+    ((kind, text, new),) = [x for x in found(f"x {value}{rest}, y") if x[0] == "iban"]
+    assert text == value and new != value and found(f"x {new}{rest}, y")[0][:2] == ("iban", new)
+
+
+def test_a_failed_match_hides_no_account_number():
+    value = "DE89 3704 0044 0532 0130 00"
+    assert ("iban", value) in [x[:2] for x in found(f"AT12 {value}")]
+
+
+@pytest.mark.parametrize("text", ["2024-01-02T10:00:00Z", "at 2024-01-02T10:00:00+01:00."])
+def test_dates_of_timestamps(text):
+    ((kind, value, new),) = found(text)
+    assert (kind, value) == ("date", "2024-01-02") and new != value
+    assert found("2024-01-02Tx") == found("2024-01-02x") == []
+
+
 def test_equal_values_stay_linked():
     a = {new.replace("-", "").replace(" ", "") for _, _, new in found("4111111111111111 and 4111-1111-1111-1111 and 4111 1111 1111 1111")}
     assert len(a) == 1
