@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabshift.llm import chat, decontaminate, jaccard, language, packing, pseudonyms, quality, secrets, toxicity, warc
+from tabshift.llm import chat, decontaminate, jaccard, language, packing, pseudonyms, quality, secrets, toxicity, urls, warc
 from tabshift.llm.common import load, training
 
 
@@ -166,6 +166,43 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIG
        sha256(loss) AS loss_sha256, CAST(length(formatted) AS BIGINT) AS formatted_chars
 FROM s"""
 
+#: (host and path, verdict) of the contract.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+#: A host with one of these words between dots and hyphens is put on the list.
+LISTED_WORDS = ("ads", "adult", "bets", "casino", "phishing", "pills", "poker", "porn", "spam", "warez", "xxx")
+_LISTED = rf"(^|[.-])({'|'.join(LISTED_WORDS)})([.-]|\z)"
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated rules come first; hosts that the pages' own urls put on the list are next."""
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    stated = spark.createDataFrame([(*rule, 0) for rule in URL_RULES], "entry string, verdict string, tier int")
+    listed = pages.select(urls.host_of(F.col("url")).alias("entry")).filter(F.col("entry").rlike(_LISTED)).distinct()
+    both = stated.union(listed.select("entry", F.lit("block"), F.lit(1)))
+    found = urls.judge(pages, urls.build(both))
+    rule = F.when(F.col("tier") == 0, F.col("entry"))
+    return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+
+
+OP11_SQL = f"""
+WITH r(rule, verdict, host, path) AS (
+  SELECT rule, verdict, regexp_extract(rule, '^[^/]*'), regexp_extract(rule, '^[^/]*(.*)', 1)
+  FROM (VALUES {', '.join(map(str, URL_RULES))}) AS t(rule, verdict)
+), u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), f AS (
+  SELECT DISTINCT p.host, p.path, r.rule, r.verdict FROM p
+  JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+), best AS (
+  SELECT host, path, arg_max(rule, strlen(rule)) AS rule, arg_max(verdict, strlen(rule)) AS verdict FROM f GROUP BY ALL
+)
+SELECT page_id, p.host, p.path, rule,
+       coalesce(verdict, CASE WHEN regexp_matches(p.host, '{_LISTED}') THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN best ON p.host = best.host AND p.path = best.path"""
+
 QUERIES = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_language": (op2_language, None),
@@ -177,4 +214,5 @@ QUERIES = {
     "op8_jaccard": (op8_jaccard, OP8_SQL),
     "op9_warc": (op9_warc, OP9_SQL),
     "op10_chat": (op10_chat, OP10_SQL),
+    "op11_urls": (op11_urls, OP11_SQL),
 }

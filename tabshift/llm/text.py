@@ -98,3 +98,9 @@ def sequence_hash(h: np.ndarray) -> np.uint64:
     for x in h:
         out = mix(out * _C ^ x)
     return out[0]
+
+
+def runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of runs by their first places and sizes, one run after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
