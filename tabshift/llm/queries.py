@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabshift.llm import chat, decontaminate, jaccard, language, packing, pseudonyms, quality, secrets, toxicity, urls, warc
+from tabshift.llm import centroids, chat, decontaminate, jaccard, language, packing, pseudonyms, quality, secrets, toxicity, urls, warc
 from tabshift.llm.common import load, training
 
 
@@ -203,6 +203,41 @@ SELECT page_id, p.host, p.path, rule,
        coalesce(verdict, CASE WHEN regexp_matches(p.host, '{_LISTED}') THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN best ON p.host = best.host AND p.path = best.path"""
 
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def _op13_sql() -> str:
+    """Ten rounds, one after the other."""
+    dims, scale, k = centroids.DIMENSIONS, centroids.SCALE, centroids.CENTROIDS
+    near = """a{i} AS MATERIALIZED (
+  SELECT r, min((d, c)) AS m FROM (
+    SELECT r, c, list_sum(list_transform(list_zip(v.e, c{i}.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{i}
+  ) GROUP BY r
+)"""
+    step = """s{i} AS (
+  SELECT c, j, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n
+  FROM (SELECT m[2] AS c, unnest(e) AS x, generate_subscripts(e, 1) AS j FROM a{i} JOIN v USING (r)) GROUP BY c, j
+), c{n} AS MATERIALIZED (
+  SELECT c, coalesce(f.e, c{i}.e) AS e FROM c{i}
+  LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS e FROM s{i} GROUP BY c) f USING (c)
+)"""
+    rounds = [part.format(i=i, n=i + 1) for i in range(centroids.ROUNDS) for part in (near, step)]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings WHERE len(embedding) = {dims}
+  AND len(list_filter(embedding, lambda x: coalesce(abs({scale} * x::DOUBLE) < {centroids.LARGEST}, false))) = {dims}
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, e) - 1 AS c, e
+  FROM (SELECT sha256('{centroids.SALT}:' || vec_id) AS h, e FROM v WHERE vec_id IS NOT NULL ORDER BY h, e LIMIT {k})
+), {', '.join(rounds)}, {near.format(i=centroids.ROUNDS)}
+SELECT vec_id, m[2]::INTEGER AS cluster, m[1] AS distance, (sum(m[1]) OVER (PARTITION BY m[2]))::BIGINT AS cluster_inertia,
+       (sum(m[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{centroids.ROUNDS}.e, ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} JOIN v USING (r) JOIN c{centroids.ROUNDS} ON m[2] = c"""
+
+
 QUERIES = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_language": (op2_language, None),
@@ -215,4 +250,5 @@ QUERIES = {
     "op9_warc": (op9_warc, OP9_SQL),
     "op10_chat": (op10_chat, OP10_SQL),
     "op11_urls": (op11_urls, OP11_SQL),
+    "op13_centroids": (op13_centroids, _op13_sql()),
 }
