@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabshift.llm import centroids, chat, decontaminate, jaccard, language, packing, pseudonyms, quality, secrets, toxicity, urls, warc
+from tabshift.llm import alignment, centroids, chat, decontaminate, jaccard, language, packing, pseudonyms, quality, secrets, toxicity, urls, warc
 from tabshift.llm.common import load, training
 
 
@@ -204,6 +204,10 @@ SELECT page_id, p.host, p.path, rule,
 FROM p LEFT JOIN best ON p.host = best.host AND p.path = best.path"""
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -250,5 +254,6 @@ QUERIES = {
     "op9_warc": (op9_warc, OP9_SQL),
     "op10_chat": (op10_chat, OP10_SQL),
     "op11_urls": (op11_urls, OP11_SQL),
+    "op12_alignment": (op12_alignment, None),
     "op13_centroids": (op13_centroids, _op13_sql()),
 }
