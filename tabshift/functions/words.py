@@ -34,6 +34,8 @@ STREET_WORDS = (
     "Linden", "Markt", "Mühlen", "Nord", "Ost", "Rosen", "Schul", "Sonnen", "Ulmen", "Wiesen",
 )
 STREET_ENDINGS = ("straße", "weg", "gasse", "allee", "platz", "ring", "ufer")
+# fixed values: the least postcode and how many there are from it on
+FIRST_POSTCODE, POSTCODES = 1_000, 99_000
 VERBS = ("align", "build", "connect", "deliver", "extend", "join", "plan", "refine", "scale", "unify")
 ADJECTIVES = (
     "central", "compact", "durable", "flexible", "global", "light", "modular", "open", "robust",
@@ -70,7 +72,7 @@ def company(d: Draws) -> Column:
 
 
 def postcode(d: Draws) -> Column:
-    return F.format_string("%05d", d.pick(99_000) + 1_000)
+    return F.format_string("%05d", d.pick(POSTCODES) + FIRST_POSTCODE)
 
 
 def city(d: Draws) -> Column:

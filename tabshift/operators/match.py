@@ -1,24 +1,29 @@
 """Best-row match: for each truth row, the output row with most equal cells.
 
-Ties go to the lowest output position; several truth rows may share an output
-row. Comparing all pairs is quadratic, and so is pairing up rows that share a
-frequent value. Instead the match is found through column subsets:
-
-    the best row of a truth row agrees with it on exactly some subset S of
-    columns, and no output row agrees with it on a larger subset.
-
-So output rows are indexed by their projections on subsets (one row per
-projection, holding the lowest position), and truth rows look up their own
-projections, large subsets first. The work is linear in both tables for a given
-number of columns, no pair of rows is ever produced, and frequent values
-collapse into a single index entry on the map side. Truth rows that are settled
-do not take part in the rounds for smaller subsets.
+Ties go to the lowest output position; several truth rows may share an output row. Comparing
+all pairs is quadratic. Instead the match is a threshold search over posting lists, one list
+of output rows for each value of each column:
+
+1. Truth rows that occur whole in the output are settled by one lookup. What follows sees only
+   distinct rows of what is left, and distinct output rows, each with its lowest position.
+2. A truth row's lists are ordered by their length, shortest first. The short ones are read
+   (`READ_ROWS` entries a row); only rows that can still win by the number of lists in which
+   they occur, plus the number of lists not read, are compared cell by cell. A row in none of
+   the lists read agrees with the truth row at most on the columns not read: with more equal
+   cells than those, the best row found is settled.
+3. For the others, two ways are exact, and the cheaper by its counted work is taken in each
+   round. Either subsets of the columns not read are looked up, by one column less in each
+   round: the output is indexed by its projections on them, one entry with the lowest position
+   for each, so frequent values collapse on the map side. Or the next lists are read, as many
+   as leave fewer columns than the best row's equal cells, which settles every row.
+
+Rows of many independent pairs of tables can be matched at once: a group number is part of
+every key. Lookups and lists of hot keys are spread over salted copies of their entries.
 """
 
 from __future__ import annotations
 
-from itertools import batched, combinations
-from math import comb
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,136 +31,229 @@ from pyspark.sql import functions as F
 from tabshift.functions.cells import fingerprint
 from tabshift.functions.names import POS, col, data_columns
 from tabshift.session import cut_lineage
-from tabshift.specs import SpecError
-
-# one round looks up subsets of several sizes as long as it stays below both
-ROUND_SUBSETS = 256
-ROUND_LOOKUPS = 1_000_000
-# subsets written into one array literal
-ARRAY_SUBSETS = 2048
-# below this number of lookups a single key cannot overload a task
-SALT_FROM_LOOKUPS = 20_000_000
-HOT_KEY_LOOKUPS = 1_000_000
-# rows that a salted copy of a key serves
+
+#: Entries of posting lists that are read for a row at first.
+READ_ROWS = 64
+#: Column subsets of one round; they are sent to every task.
+ROUND_SUBSETS = 4096
+#: Cost of an entry of a posting list against a projection of an output row.
+LIST_COST = 2
+#: Below so many lookups or list entries a single key cannot overload a task.
+SALT_FROM = 20_000_000
+#: Rows that a salted copy of a key serves.
 ROWS_PER_SALT = 1_000_000
-# bits of a column subset in a bigint
-MASK_COLUMNS = 62
-# fingerprint of a projection
-KEY = ["_k1", "_k2"]
-# wanted keys (16 bytes each) that are sent to every task to thin out the index
+#: Wanted keys (16 bytes each) that are sent to every task to thin out the output's.
 SENT_KEYS = 200_000
+KEY = ["_k1", "_k2"]
+TRUTH = ["_g", "_t"]
 
+_PLACES = "9223372036854775808BD"
 
-def next_sizes(n_columns: int, largest: int, rows: int) -> list[int]:
-    """Subset sizes of the next round, from `largest` down. On large tables that
-    is one size: most rows of a good candidate are settled by the whole row, and
-    only what is left is looked up by smaller subsets."""
-    sizes: list[int] = []
-    subsets = 0
-    for size in range(largest, 0, -1):
-        subsets += comb(n_columns, size)
-        if sizes and (subsets > ROUND_SUBSETS or rows * subsets > ROUND_LOOKUPS):
-            break
-        sizes.append(size)
-    return sizes
-
-
-def _masks(width: int, sizes: list[int]):
-    for size in sizes:
-        for bits in combinations(range(width), size):
-            yield sum(1 << b for b in bits)
-
-
-def _projections(df: DataFrame, cells: list[str], sizes: list[int], keep: list[str]) -> DataFrame:
-    """One row per (row, subset) with the fingerprint of the cells in the subset.
-    With a column `_live`, only subsets of it."""
-    out = None
-    for masks in batched(_masks(len(cells), sizes), ARRAY_SUBSETS):
-        array = F.array(*[F.lit(m).cast("bigint") for m in masks])
-        if "_live" in df.columns:
-            live = F.col("_live")
-            array = F.filter(array, lambda m: m.bitwiseAND(live) == m)
-        part = df.select(*keep, *cells, F.explode(array).alias("_mask"))
-        out = part if out is None else out.unionAll(part)
-    mask = F.col("_mask")
-    chosen = []
-    for bit, name in enumerate(cells):
-        in_subset = mask.bitwiseAND(F.lit(1 << bit).cast("bigint")) != 0
-        chosen.append(F.when(in_subset, F.col(name)))
-    key_1, key_2 = fingerprint([mask, *chosen])
-    return out.select(*keep, "_mask", key_1.alias("_k1"), key_2.alias("_k2"))
-
-
-def _lookup(left: DataFrame, index: DataFrame, lookups: int) -> DataFrame:
-    """Join on the key, unique in `index`. When there are enough lookups for one
-    key to overload a task, lookups of hot keys are spread over salted copies of
-    their index entry."""
-    if lookups < SALT_FROM_LOOKUPS:
-        return left.join(index, KEY)
-    counts = left.groupBy(*KEY).count().filter(F.col("count") >= HOT_KEY_LOOKUPS)
-    # at most lookups / HOT_KEY_LOOKUPS keys; the planner knows whether they can be sent
-    salts = F.ceil(F.col("count") / ROWS_PER_SALT).cast("int")
-    hot = cut_lineage(counts.select(*KEY, salts.alias("_salts")))
+
+def encoded(columns: list[str]) -> Column:
+    """The cells of a row; null is a value."""
+    return F.array(*[F.coalesce(F.concat(F.lit("="), col(c)), F.lit("")) for c in columns]).cast("array<string>")
+
+
+def _keyed(*parts: Column) -> list[Column]:
+    return [c.alias(n) for c, n in zip(fingerprint(list(parts)), KEY)]
+
+
+def _score(matched: Column, place: Column) -> Column:
+    """One number that is larger for more equal cells, then for a lower position."""
+    return matched.cast("decimal(38,0)") * F.expr(_PLACES) + (F.expr(_PLACES) - 1 - place)
+
+
+def _matched(score: Column) -> Column:
+    return F.call_function("div", score, F.expr(_PLACES)).cast("bigint")
+
+
+def _place(score: Column) -> Column:
+    return (F.expr(_PLACES) - 1 - score % F.expr(_PLACES)).cast("bigint")
+
+
+def _lookup(left: DataFrame, index: DataFrame, rows: int) -> DataFrame:
+    """Left join on the key, unique in `index`. Where there are so many rows that a key
+    can overload a task, those of hot keys are spread over salted copies of the entry."""
+    hot = _hot(left.groupBy(*KEY).count(), F.col("count")) if rows >= SALT_FROM else None
+    if hot is None:
+        return left.join(index, KEY, "left")
+    return _spread(left, index, hot, "left")
+
+
+def _hot(counts: DataFrame, work: Column) -> DataFrame | None:
+    """Keys with more work than one task should have, and their number of copies."""
+    salts = F.ceil(work / ROWS_PER_SALT).cast("int")
+    hot = cut_lineage(counts.select(*KEY, salts.alias("_salts")).filter("_salts > 1"))
+    return None if hot.isEmpty() else hot
+
+
+def _spread(left: DataFrame, right: DataFrame, hot: DataFrame, how: str) -> DataFrame:
+    """Both sides may hold a key often; the left is dealt, the right is copied."""
     n = F.coalesce(F.col("_salts"), F.lit(1))
-    salt = F.pmod(F.xxhash64("_t"), n).cast("int")
-    salted_left = left.join(hot, KEY, "left").withColumn("_salt", salt).drop("_salts")
-    spread = F.explode(F.sequence(F.lit(0), n - 1))
-    salted_index = index.join(hot, KEY, "left").withColumn("_salt", spread).drop("_salts")
-    return salted_left.join(salted_index, [*KEY, "_salt"]).drop("_salt")
-
-
-def _found(left: DataFrame, right: DataFrame, cells: list[str], sizes: list[int], rows: int):
-    """(_t, _mask, _o) for each projection of a truth row that occurs in the
-    output, with the lowest position at which it does."""
-    lookups = rows * sum(comb(len(cells), s) for s in sizes)
-    wanted = _projections(left, cells, sizes, ["_t"])
-    offered = _projections(right, cells, sizes, ["_o"])
-    if lookups <= SENT_KEYS:
-        keys = F.broadcast(wanted.select(*KEY).distinct())
-        offered = offered.join(keys, KEY, "left_semi")
-    index = offered.groupBy(*KEY).agg(F.min("_o").alias("_o"))
-    return _lookup(wanted, index, lookups)
-
-
-def _best(found: DataFrame, sizes: list[int]) -> DataFrame:
-    """Largest subset, then lowest output position. One minimum per size keeps
-    the aggregate on plain numbers."""
-    size = F.bit_count("_mask")
-    lowest = found.groupBy("_t").agg(
-        *[F.min(F.when(size == s, F.col("_o"))).alias(f"_o{s}") for s in sizes]
-    )
-    matched = F.coalesce(*[F.when(F.col(f"_o{s}").isNotNull(), F.lit(s)) for s in sizes])
-    return lowest.select(
-        "_t",
-        matched.cast("bigint").alias("matched"),
-        F.coalesce(*[F.col(f"_o{s}") for s in sizes]).alias("output_pos"),
-    )
+    salt = F.pmod(F.xxhash64(*TRUTH), n).cast("int")
+    dealt = left.join(hot, KEY, "left").withColumn("_salt", salt).drop("_salts")
+    copied = right.join(hot, KEY, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_salts")
+    return dealt.join(copied, [*KEY, "_salt"], how).drop("_salt")
+
 
+def _wanted(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Only the rows whose key is wanted; few keys go to every task."""
+    few = keys.limit(SENT_KEYS + 1).count() <= SENT_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, KEY, "left_semi")
 
-def _cells(df: DataFrame, columns: list[str], position: str) -> tuple[DataFrame, list[str]]:
-    cells = [f"_c{i}" for i in range(len(columns))]
-    return df.select(
-        F.col(POS).alias(position), *[col(c).alias(n) for c, n in zip(columns, cells)]
-    ), cells
 
+# ---------------------------------------------------------------- steps
 
-def _with_live_columns(left: DataFrame, right: DataFrame, cells: list[str], rows: int):
-    """Add `_live`, the columns whose cell occurs in the output at all; no other
-    column can be part of a match."""
-    seen = _found(left, right, cells, [1], rows).groupBy("_t").agg(F.bit_or("_mask").alias("_live"))
-    return cut_lineage(left.join(seen, "_t", "left").na.fill(0, ["_live"]))
 
+@dataclass
+class _Search:
+    """Distinct truth rows (_g, _t, _c, _live, _read) and output rows (_g, _o, _c). `_live`:
+    (f, c, key) of the columns whose cell occurs in the output, rarest first; the first
+    `_read` of them are read. `postings`: key and _o of the cells that truth rows have."""
 
-def _settle_whole_rows(left: DataFrame, right: DataFrame, cells: list[str], rows: int):
-    """Truth rows that occur whole in the output with the first place where they do, and
-    the other rows. Needs no subsets, so it works for any number of columns."""
-    keyed = lambda df, name: df.select(name, *[c.alias(k) for c, k in zip(fingerprint([F.col(x) for x in cells]), KEY)])
-    index = keyed(right, "_o").groupBy(*KEY).agg(F.min("_o").alias("output_pos"))
-    found = _lookup(keyed(left, "_t"), index, rows).select("_t", "output_pos")
-    scored = cut_lineage(left.join(found, "_t", "left"))
-    whole = F.lit(len(cells)).cast("bigint").alias("matched")
-    done = scored.filter("output_pos is not null").select("_t", whole, "output_pos")
-    return done, scored.filter("output_pos is null").drop("output_pos")
+    state: DataFrame
+    output: DataFrame
+    postings: DataFrame
+    n_truth: int
+    n_output: int  # of a group, on average
+
+    def read(self, state: DataFrame, first: Column, number: Column, entries: int) -> DataFrame:
+        """Scores of the rows in lists first + 1 .. first + number of each truth row that can
+        still win. `state` has `_score`, null where nothing is found yet; `entries`: how many
+        there are in these lists, or more."""
+        lists = state.select(
+            *TRUTH, F.inline(F.transform(F.slice("_live", first + 1, number), lambda x: F.struct(x["_k1"], x["_k2"], x["f"])))
+        )
+        # one key's work: the truth rows that read its list, times the list
+        work = lists.groupBy(*KEY, "f").agg(F.count("*").alias("n"))
+        hot = _hot(work, F.col("n") * F.col("f")) if entries >= SALT_FROM else None
+        lists = lists.drop("f")
+        pairs = lists.join(self.postings, KEY) if hot is None else _spread(lists, self.postings, hot, "inner")
+        hits = pairs.groupBy(*TRUTH, "_o").agg(F.count("*").alias("_n"))
+        bounds = state.select(*TRUTH, "_c", (F.size("_live") - number).alias("_open"), F.coalesce(_matched(F.col("_score")), F.lit(0)).alias("_have"))
+        # what occurs in most lists has at least so many equal cells
+        least = hits.groupBy(*TRUTH).agg(F.max("_n").alias("_least"))
+        known = bounds.join(least, TRUTH)
+        can_win = F.col("_n") + F.col("_open") >= F.greatest("_least", "_have")
+        left = hits.join(known, TRUTH).filter(can_win)
+        rows = left.join(self.output.select("_g", "_o", F.col("_c").alias("_d")), ["_g", "_o"])
+        equal = F.aggregate(F.zip_with("_c", "_d", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
+        return rows.select(*TRUTH, _score(equal, F.col("_o")).alias("_score"))
+
+
+def _better(state: DataFrame, scores: DataFrame) -> DataFrame:
+    """`state` with the best of its own and the found scores, written."""
+    best = scores.groupBy(*TRUTH).agg(F.max("_score").alias("_found"))
+    joined = state.join(best, TRUTH, "left")
+    return cut_lineage(joined.withColumn("_score", F.greatest("_score", "_found")).drop("_found"))
+
+
+def _search(left: DataFrame, right: DataFrame, n_truth: int, n_groups: int) -> _Search:
+    cells = left.select(*TRUTH, F.posexplode("_c").alias("c", "v")).select(*TRUTH, "c", *_keyed(F.col("_g"), F.col("c"), F.col("v")))
+    keys = cut_lineage(cells.select(*KEY).distinct())
+    offered = right.select("_g", "_o", F.posexplode("_c").alias("c", "v")).select(*_keyed(F.col("_g"), F.col("c"), F.col("v")), "_o")
+    postings = cut_lineage(_wanted(offered, keys))
+    lengths = cut_lineage(postings.groupBy(*KEY).agg(F.count("*").alias("f")))
+    n_cells = left.agg(F.sum(F.size("_c"))).first()[0]
+    found = _lookup(cells, lengths, n_cells).filter("f is not null")
+    live = found.groupBy(*TRUTH).agg(F.array_sort(F.collect_list(F.struct("f", "c", *KEY))).alias("_live"))
+    start = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).alias("n"))
+
+    def more(acc: Column, x: Column) -> Column:
+        total = acc["s"] + x["f"]
+        return F.struct(total.alias("s"), (acc["n"] + (total <= READ_ROWS).cast("int")).alias("n"))
+
+    read = F.aggregate("_live", start, more, lambda acc: acc["n"])
+    # a row without such a cell has no equal cell anywhere
+    state = cut_lineage(left.join(live, TRUTH).select(*TRUTH, "_c", "_live", read.alias("_read"), F.lit(None).cast("decimal(38,0)").alias("_score")))
+    return _Search(state, right, postings, n_truth, right.count() // n_groups)
+
+
+def _unread(state: DataFrame) -> Column:
+    return F.size("_live") - F.col("_read")
+
+
+def _have() -> Column:
+    return F.coalesce(_matched(F.col("_score")), F.lit(0))
+
+
+def _subset_scores(s: _Search, subsets: DataFrame, sets: DataFrame, n_sets: int) -> DataFrame:
+    """Scores of truth rows by their column subsets (_cols)."""
+
+    def key(rows: DataFrame, *kept: str) -> DataFrame:
+        chosen = F.transform("_cols", lambda i: F.get("_c", i))
+        return rows.select(*kept, *_keyed(F.col("_g"), F.col("_cols"), chosen))
+
+    wanted = key(subsets, *TRUTH, "_size")
+    # as many sets as the rounds allow, whatever the tables' size
+    offered = key(s.output.join(F.broadcast(sets), "_g"), "_o")
+    thin = _wanted(offered, cut_lineage(wanted.select(*KEY).distinct()))
+    index = thin.groupBy(*KEY).agg(F.min("_o").alias("_o"))
+    found = _lookup(wanted, index, s.n_truth * n_sets).filter("_o is not null")
+    return found.select(*TRUTH, _score(F.col("_size"), F.col("_o")).alias("_score"))
+
+
+def _rounds(s: _Search, state: DataFrame) -> list[DataFrame]:
+    """Settles the rows that their read lists leave open; written parts of all rows."""
+    done: list[DataFrame] = []
+    size = _unread(state)
+    asked = F.greatest(_have(), F.lit(1))
+    done.append(state.filter(size < asked))
+    state = cut_lineage(state.filter(size >= asked).withColumn("_size", size))
+    unread = F.slice("_live", F.col("_read") + 1, F.greatest(F.col("_size"), F.lit(1)))
+    subsets = state.select(*TRUTH, "_c", "_size", F.array_sort(F.transform(unread, lambda x: x["c"])).alias("_cols"), F.lit(0).alias("_from"))
+    while not state.isEmpty():
+        # as many lists as leave fewer columns than the best row's equal cells
+        number = _unread(state) - F.greatest(_have() - 1, F.lit(0))
+        lists = F.aggregate(F.slice("_live", F.col("_read") + 1, number), F.lit(0).cast("bigint"), lambda n, x: n + x["f"])
+        entries = state.agg(F.sum(lists)).first()[0]
+        sets = cut_lineage(subsets.select("_g", "_cols").distinct())
+        n_sets = sets.count()
+        if n_sets > ROUND_SUBSETS or n_sets * s.n_output > LIST_COST * entries:
+            done.append(_better(state, s.read(state, F.col("_read"), number, entries)))
+            break
+        state = _better(state, _subset_scores(s, subsets, sets, n_sets)).withColumn("_size", F.col("_size") - 1)
+        open_ = F.col("_size") >= F.greatest(_have(), F.lit(1))
+        done.append(state.filter(~open_))
+        state = cut_lineage(state.filter(open_))
+        # each smaller subset once: columns go from left to right
+        fewer = F.transform(
+            F.sequence(F.col("_from"), F.size("_cols") - 1),
+            lambda k: F.struct(F.concat(F.slice("_cols", F.lit(1), k), F.slice("_cols", k + 2, F.size("_cols"))).alias("_cols"), k.alias("_from")),
+        )
+        smaller = subsets.filter(F.col("_from") < F.size("_cols")).select(*TRUTH, "_c", F.inline(fewer))
+        subsets = cut_lineage(smaller.join(state.select(*TRUTH, "_size"), TRUTH))
+    return done
+
+
+def match_rows(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(_g, _t, _o, matched) of each row of `left` (_g, _t, _c) among the rows of `right`
+    (_g, _o, _c) of its group; without an equal cell _o is null. Cells are encoded."""
+    whole = _keyed(F.col("_g"), F.col("_c"))
+    right = right.select("*", *whole)
+    index = cut_lineage(right.groupBy(*KEY).agg(F.min("_g").alias("_g"), F.min("_o").alias("_o")))
+    n_left = left.count()
+    rows = cut_lineage(_lookup(left.select("*", *whole), index.select(*KEY, "_o"), n_left))
+    open_ = F.col("_o").isNull()
+    result = rows.filter(~open_).select(*TRUTH, "_o", F.size("_c").cast("bigint").alias("matched"))
+    rows = rows.filter(open_).drop("_o")
+    firsts = cut_lineage(rows.groupBy(*KEY).agg(F.min("_g").alias("_g"), F.min("_t").alias("_t")))
+    n_truth, n_groups = firsts.agg(F.count("*"), F.count_distinct("_g")).first()
+    if not n_truth:
+        return result
+    distinct = cut_lineage(rows.drop(*KEY).join(firsts.select(*TRUTH), TRUTH, "left_semi"))
+    groups = distinct.select("_g").distinct()
+    offered = cut_lineage(right.drop(*KEY).join(index.select("_g", "_o").join(groups, "_g", "left_semi"), ["_g", "_o"], "left_semi"))
+    s = _search(distinct, offered, n_truth, n_groups)
+    state = _better(s.state, s.read(s.state.filter("_read > 0"), F.lit(0), F.col("_read"), READ_ROWS * n_truth))
+    best = None
+    for part in _rounds(s, state):
+        part = part.filter("_score is not null").select(*TRUTH, _place(F.col("_score")).alias("_o"), _matched(F.col("_score")).alias("matched"))
+        best = part if best is None else best.unionAll(part)
+    by_key = cut_lineage(firsts.join(best, TRUTH).select(*KEY, "_o", "matched"))
+    others = _lookup(rows.select(*TRUTH, *KEY), by_key, n_left)
+    return result.unionAll(others.select(*TRUTH, "_o", F.coalesce("matched", F.lit(0)).alias("matched")))
 
 
 def best_match(truth: DataFrame, output: DataFrame) -> DataFrame | None:
@@ -165,49 +263,12 @@ def best_match(truth: DataFrame, output: DataFrame) -> DataFrame | None:
     columns = data_columns(truth)
     if columns != data_columns(output):
         return None
-    left, cells = _cells(truth, columns, "_t")
-    right, _ = _cells(output, columns, "_o")
+    cells, group = encoded(columns).alias("_c"), F.lit(0).alias("_g")
+    found = match_rows(
+        truth.select(group, F.col(POS).alias("_t"), cells), output.select(group, F.col(POS).alias("_o"), cells)
+    )
     # scalar subquery: position of the first output row
     first = output.agg(F.min(POS)).scalar()
-    total = rows = truth.count()
-    largest = len(columns)
-
-    settled: list[DataFrame] = []
-    if largest > MASK_COLUMNS:
-        done, left = _settle_whole_rows(left, right, cells, rows)
-        settled.append(done)
-        rows = left.count()
-        largest -= 1
-        if rows:
-            raise SpecError(f"rows that differ can be matched over at most {MASK_COLUMNS} columns")
-    while largest and rows:
-        sizes = next_sizes(len(columns), largest, total)
-        found = _found(left, right, cells, sizes, rows)
-        scored = left.join(_best(found, sizes), "_t", "left")
-        largest = sizes[-1] - 1
-        if not largest:
-            left = scored
-            break
-        done = F.col("matched").isNotNull()
-        # the cells of settled rows are not needed any more
-        scored = cut_lineage(
-            scored.withColumns({c: F.when(~done, F.col(c)) for c in cells})
-        )
-        settled.append(scored.filter(done).select("_t", "matched", "output_pos"))
-        left = scored.filter(~done).drop("matched", "output_pos")
-        rows = left.count()
-        subsets_left = sum(comb(len(cells), s) for s in range(1, largest + 1))
-        if rows and subsets_left > ROUND_SUBSETS and "_live" not in left.columns:
-            left = _with_live_columns(left, right, cells, rows)
-            largest = min(largest, left.agg(F.max(F.bit_count("_live"))).first()[0])
-    if "matched" not in left.columns:
-        nothing = F.lit(None).cast("bigint")
-        left = left.withColumns({"matched": nothing, "output_pos": nothing})
-    result = left.select("_t", "matched", "output_pos")
-    for part in settled:
-        result = result.unionByName(part)
-    return result.select(
-        F.col("_t").alias("truth_pos"),
-        F.coalesce("output_pos", first).alias("output_pos"),
-        F.coalesce("matched", F.lit(0)).cast("bigint").alias("matched"),
+    return found.select(
+        F.col("_t").alias("truth_pos"), F.coalesce("_o", first).alias("output_pos"), F.col("matched").cast("bigint")
     )

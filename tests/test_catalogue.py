@@ -1,5 +1,4 @@
-"""The query catalogue: every query has SQL, and a few are compared here (the
-whole catalogue is compared outside of the unit tests)."""
+"""The query catalogue: every query has SQL, and gives what it gives."""
 
 import os
 import re
@@ -36,13 +35,7 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize(
-    "name",
-    [
-        "migrate_orders", "filter_formatted_date", "map_value_quarantine", "synth_table",
-        "noise_lineitem", "best_match", "metric_row", "validate_values", "report_markdown",
-    ],
-)
+@pytest.mark.parametrize("name", [n for n in catalogue.oracle_sql() if not re.match(r"op\d+_|pipeline$", n)])
 def test_query_equals_its_sql(spark, con, name):
     df = catalogue.queries()[name](spark, DATA)
     cursor = con.execute(catalogue.oracle_sql()[name])

@@ -311,6 +311,58 @@ def best_match_orders(spark, sf_dir):
     return best_match(s.truth, s.output)
 
 
+WIDE_COLUMNS = [
+    "cust no", "cust.name", "nation", "balance", "segment", "area", "last digit", "hundred", "cents", "debt", "market", "tail", "month", "day",
+]
+# cells that are longer than one character seldom survive the second
+WIDE_NOISE = noise(31, [], ("typo", 0.15), ("duplicate", 0.1), ("missing_value", 0.1))
+BAD_NOISE = noise(32, [], ("typo", 0.97), ("typo", 0.9), ("duplicate", 0.1), ("missing_value", 0.15))
+
+
+def wide_customers(spark, sf_dir):
+    """Customers with columns of every kind: unique ones, and few values or many."""
+    number = F.col(POS)
+    return customers(spark, sf_dir).select(
+        *[col(c) for c in WIDE_COLUMNS[:5]],
+        (col("nation").cast("int") % 5).cast("string").alias("area"),
+        (number % 10).cast("string").alias("last digit"),
+        F.floor(number / 100).cast("string").alias("hundred"),
+        F.substring("balance", -2, 2).alias("cents"),
+        F.when(col("balance").startswith("-"), "y").otherwise("n").alias("debt"),
+        F.substring("segment", 1, 1).alias("market"),
+        F.substring(col("cust.name"), -3, 3).alias("tail"),
+        (number % 12).cast("string").alias("month"),
+        (number % 7).cast("string").alias("day"),
+        POS,
+    )
+
+
+WIDE_CUSTOMERS = f"""
+SELECT "cust no", "cust.name", nation, balance, segment, CAST(CAST(nation AS INTEGER) % 5 AS VARCHAR) AS area,
+       CAST(pos % 10 AS VARCHAR) AS "last digit", CAST(pos // 100 AS VARCHAR) AS hundred, right(balance, 2) AS cents,
+       CASE WHEN balance LIKE '-%' THEN 'y' ELSE 'n' END AS debt, left(segment, 1) AS market,
+       right("cust.name", 3) AS tail, CAST(pos % 12 AS VARCHAR) AS month, CAST(pos % 7 AS VARCHAR) AS day, pos
+FROM ({CUSTOMERS})"""
+
+
+def best_match_wide(spark, sf_dir):
+    """Fourteen columns, about a fifth of the cells damaged."""
+    truth = wide_customers(spark, sf_dir)
+    return best_match(truth, apply_noise(truth, WIDE_NOISE))
+
+
+def best_match_bad(spark, sf_dir):
+    """Fourteen columns of which little more than the frequent values agree."""
+    truth = wide_customers(spark, sf_dir)
+    return best_match(truth, apply_noise(truth, BAD_NOISE))
+
+
+def _wide_match_sql(damage) -> str:
+    return f"""
+WITH truth AS MATERIALIZED ({WIDE_CUSTOMERS}), output AS MATERIALIZED ({noise_sql('truth', WIDE_COLUMNS, damage)}),
+{_matches_sql(WIDE_COLUMNS)} SELECT truth_pos, output_pos, matched FROM matches"""
+
+
 # --- aggregates -------------------------------------------------------------
 
 
@@ -544,6 +596,8 @@ QUERIES = {
         best_match_orders,
         f"{_ORDER_WITH}, {_matches_sql(_PLAIN_ORDER_COLUMNS)} SELECT truth_pos, output_pos, matched FROM matches",
     ),
+    "best_match_wide": (best_match_wide, _wide_match_sql(WIDE_NOISE)),
+    "best_match_bad": (best_match_bad, _wide_match_sql(BAD_NOISE)),
     "fit_stats": (
         fit_stats,
         f"""SELECT CAST(min(CAST(total AS DECIMAL(12,2))) AS VARCHAR) AS low,

@@ -13,7 +13,9 @@ from tabshift.functions.words import (
     CITIES,
     COMPANY_FORMS,
     FIRST_NAMES,
+    FIRST_POSTCODE,
     NOUNS,
+    POSTCODES,
     STREET_ENDINGS,
     STREET_WORDS,
     SURNAMES,
@@ -109,7 +111,7 @@ def _p(column, k, n):
 SYNTH_PROVIDER = f"""
 SELECT "cust no",
   {_w('company', 0, SURNAMES)} || ' ' || {_w('company', 1, SURNAMES)} || ' ' || {_w('company', 2, COMPANY_FORMS)} AS company,
-  lpad(CAST({_p('postcode', 0, 98200)} + 1000 AS VARCHAR), 5, '0') AS postcode,
+  lpad(CAST({_p('postcode', 0, POSTCODES)} + {FIRST_POSTCODE} AS VARCHAR), 5, '0') AS postcode,
   {_w('city', 0, CITIES)} AS city,
   {_w('street_name', 0, STREET_WORDS)} || {_w('street_name', 1, STREET_ENDINGS)} AS street_name,
   CAST({_p('building_number', 0, 250)} + 1 AS VARCHAR) AS building_number,
