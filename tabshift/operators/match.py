@@ -40,6 +40,8 @@ ROUND_SUBSETS = 4096
 LIST_COST = 2
 #: Below so many lookups or list entries a single key cannot overload a task.
 SALT_FROM = 20_000_000
+#: Projections of output rows that a task makes at most, on average.
+TASK_PROJECTIONS = 4_000_000
 #: Rows that a salted copy of a key serves.
 ROWS_PER_SALT = 1_000_000
 #: Wanted keys (16 bytes each) that are sent to every task to thin out the output's.
@@ -99,7 +101,7 @@ def _spread(left: DataFrame, right: DataFrame, hot: DataFrame, how: str) -> Data
 
 def _wanted(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Only the rows whose key is wanted; few keys go to every task."""
-    few = keys.limit(SENT_KEYS + 1).count() <= SENT_KEYS
+    few = keys.count() <= SENT_KEYS
     return rows.join(F.broadcast(keys) if few else keys, KEY, "left_semi")
 
 
@@ -154,7 +156,7 @@ def _search(left: DataFrame, right: DataFrame, n_truth: int, n_groups: int) -> _
     keys = cut_lineage(cells.select(*KEY).distinct())
     offered = right.select("_g", "_o", F.posexplode("_c").alias("c", "v")).select(*_keyed(F.col("_g"), F.col("c"), F.col("v")), "_o")
     postings = cut_lineage(_wanted(offered, keys))
-    lengths = cut_lineage(postings.groupBy(*KEY).agg(F.count("*").alias("f")))
+    lengths = postings.groupBy(*KEY).agg(F.count("*").alias("f"))
     n_cells = left.agg(F.sum(F.size("_c"))).first()[0]
     found = _lookup(cells, lengths, n_cells).filter("f is not null")
     live = found.groupBy(*TRUTH).agg(F.array_sort(F.collect_list(F.struct("f", "c", *KEY))).alias("_live"))
@@ -186,8 +188,10 @@ def _subset_scores(s: _Search, subsets: DataFrame, sets: DataFrame, n_sets: int)
         return rows.select(*kept, *_keyed(F.col("_g"), F.col("_cols"), chosen))
 
     wanted = key(subsets, *TRUTH, "_size")
+    # few stored rows become many projections: dealt to more tasks before
+    tasks = max(s.output.sparkSession.sparkContext.defaultParallelism, n_sets * s.n_output // TASK_PROJECTIONS)
     # as many sets as the rounds allow, whatever the tables' size
-    offered = key(s.output.join(F.broadcast(sets), "_g"), "_o")
+    offered = key(s.output.repartition(tasks).join(F.broadcast(sets), "_g"), "_o")
     thin = _wanted(offered, cut_lineage(wanted.select(*KEY).distinct()))
     index = thin.groupBy(*KEY).agg(F.min("_o").alias("_o"))
     found = _lookup(wanted, index, s.n_truth * n_sets).filter("_o is not null")
@@ -231,28 +235,28 @@ def match_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """(_g, _t, _o, matched) of each row of `left` (_g, _t, _c) among the rows of `right`
     (_g, _o, _c) of its group; without an equal cell _o is null. Cells are encoded."""
     whole = _keyed(F.col("_g"), F.col("_c"))
-    right = right.select("*", *whole)
+    right = cut_lineage(right.select("*", *whole))
     index = cut_lineage(right.groupBy(*KEY).agg(F.min("_g").alias("_g"), F.min("_o").alias("_o")))
-    n_left = left.count()
-    rows = cut_lineage(_lookup(left.select("*", *whole), index.select(*KEY, "_o"), n_left))
+    # one entry a key: where a row is very frequent, the join splits the truth's side
+    rows = cut_lineage(left.select("*", *whole).join(index.select(*KEY, "_o"), KEY, "left"))
     open_ = F.col("_o").isNull()
     result = rows.filter(~open_).select(*TRUTH, "_o", F.size("_c").cast("bigint").alias("matched"))
     rows = rows.filter(open_).drop("_o")
-    firsts = cut_lineage(rows.groupBy(*KEY).agg(F.min("_g").alias("_g"), F.min("_t").alias("_t")))
-    n_truth, n_groups = firsts.agg(F.count("*"), F.count_distinct("_g")).first()
+    distinct = cut_lineage(rows.dropDuplicates(KEY))
+    n_truth, n_groups = distinct.agg(F.count("*"), F.count_distinct("_g")).first()
     if not n_truth:
         return result
-    distinct = cut_lineage(rows.drop(*KEY).join(firsts.select(*TRUTH), TRUTH, "left_semi"))
     groups = distinct.select("_g").distinct()
-    offered = cut_lineage(right.drop(*KEY).join(index.select("_g", "_o").join(groups, "_g", "left_semi"), ["_g", "_o"], "left_semi"))
-    s = _search(distinct, offered, n_truth, n_groups)
+    firsts = index.select("_g", "_o").join(groups, "_g", "left_semi")
+    offered = cut_lineage(right.drop(*KEY).join(firsts, ["_g", "_o"], "left_semi"))
+    s = _search(distinct.drop(*KEY), offered, n_truth, n_groups)
     state = _better(s.state, s.read(s.state.filter("_read > 0"), F.lit(0), F.col("_read"), READ_ROWS * n_truth))
     best = None
     for part in _rounds(s, state):
         part = part.filter("_score is not null").select(*TRUTH, _place(F.col("_score")).alias("_o"), _matched(F.col("_score")).alias("matched"))
         best = part if best is None else best.unionAll(part)
-    by_key = cut_lineage(firsts.join(best, TRUTH).select(*KEY, "_o", "matched"))
-    others = _lookup(rows.select(*TRUTH, *KEY), by_key, n_left)
+    by_key = cut_lineage(distinct.join(best, TRUTH).select(*KEY, "_o", "matched"))
+    others = _lookup(rows.select(*TRUTH, *KEY), by_key, rows.count())
     return result.unionAll(others.select(*TRUTH, "_o", F.coalesce("matched", F.lit(0)).alias("matched")))
 
 
