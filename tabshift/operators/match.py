@@ -40,6 +40,8 @@ ROUND_SUBSETS = 4096
 LIST_COST = 2
 #: Below so many lookups or list entries a single key cannot overload a task.
 SALT_FROM = 20_000_000
+#: A round of subsets costs at least so much.
+ROUND_COST = 5_000_000
 #: Projections of output rows that a task makes at most, on average.
 TASK_PROJECTIONS = 4_000_000
 #: Rows that a salted copy of a key serves.
@@ -214,7 +216,7 @@ def _rounds(s: _Search, state: DataFrame) -> list[DataFrame]:
         entries = state.agg(F.sum(lists)).first()[0]
         sets = cut_lineage(subsets.select("_g", "_cols").distinct())
         n_sets = sets.count()
-        if n_sets > ROUND_SUBSETS or n_sets * s.n_output > LIST_COST * entries:
+        if n_sets > ROUND_SUBSETS or max(n_sets * s.n_output, ROUND_COST) > LIST_COST * entries:
             done.append(_better(state, s.read(state, F.col("_read"), number, entries)))
             break
         state = _better(state, _subset_scores(s, subsets, sets, n_sets)).withColumn("_size", F.col("_size") - 1)

@@ -10,6 +10,7 @@ from tabshift.functions.names import POS
 from tabshift.operators.compare import multiset_overlap, positional_diff, row_multiset
 from tabshift.operators.match import best_match, encoded, match_rows
 from tabshift.operators.metrics import METRICS, Scoring, reproduction_score
+from tabshift.plans.batch import Run, evaluate_many
 from tabshift.plans.evaluate import evaluate, failed_run, score
 from workloads.specs import noise, rule, task
 
@@ -269,3 +270,36 @@ def test_whole_rows_match_at_any_width(table):
     names = [f"c{i}" for i in range(64)]
     rows = [[f"v{i}{k}" for i in range(64)] for k in range(3)]
     assert matched(best_match(table(names, rows), table(names, rows[::-1]))) == [(0, 2, 64), (1, 1, 64), (2, 0, 64)]
+
+
+def test_many_runs_score_as_each_alone(spark, damaged, table):
+    """Shared and own expectations, a failed run, other columns, no rows."""
+    names = [c for c in damaged["truth"].columns if c != POS]
+    truth = damaged["truth"]
+    outputs = [
+        truth, truth.limit(1), truth.filter("false"), truth.drop(names[0]), truth.withColumn(names[-1], F.lit("nan")).unionAll(truth),
+    ]
+    scorings = [Scoring(output=o, **damaged) for o in outputs]
+    plain = table(["a", "b"], [["1", None], ["2", "x"]])
+    scorings.append(Scoring(output=table(["a", "b"], [["2", "y"], ["1", None], ["1", None]]), truth=plain))
+    runs = [Run(f"agent {k}", s, float(k)) for k, s in enumerate(scorings)] + [Run("failed", scorings[0], error="timeout")]
+    rows = evaluate_many(runs).orderBy(POS).collect()
+    assert [r["agent_name"] for r in rows] == [r.agent_name for r in runs]
+    for row, s in zip(rows, scorings):
+        alone = {m.name: round(m.score, 9) for m in score(s)}
+        assert {m["name"]: round(m["score"], 9) for m in row["metrics"]} == alone
+        assert row["passed"] == all(v == 1.0 for v in alone.values())
+    assert rows[-1]["metrics"] == [] and rows[-1]["error"] == "timeout" and rows[-1]["passed"] is False
+
+
+def test_jobs_do_not_depend_on_the_number_of_runs(spark, damaged):
+    def jobs(n):
+        scoring = Scoring(output=damaged["truth"], **damaged)
+        group = f"runs-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        evaluate_many([Run(f"a{k}", scoring) for k in range(n)]).collect()
+        found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found
+
+    assert abs(jobs(2) - jobs(6)) <= 2

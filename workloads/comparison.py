@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tabshift.functions.names import POS, col
@@ -30,6 +33,7 @@ from tabshift.operators.metrics import (
 from tabshift.operators.noise import apply_noise
 from tabshift.operators.order import first_per_key, first_seen, with_index
 from tabshift.operators.synth import STRATEGIES
+from tabshift.plans.batch import Run, evaluate_many
 from tabshift.plans.evaluate import evaluate
 from tabshift.plans.migrate import migrate
 from tabshift.plans.validate import compare_rederived, validate_package
@@ -244,6 +248,44 @@ UNION ALL SELECT 'error_correction_accuracy', {_ratio('count(*) FILTER (WHERE ok
 UNION ALL SELECT 'reproducibility', CAST(1.0 AS DOUBLE), FALSE"""
 
 
+_RUN_NOISE = {
+    "light": noise(3, ["cust no", "segment", "balance"], ("typo", 0.01), ("missing_value", 0.01)),
+    "twice": noise(4, ["cust no", "segment", "balance"], ("duplicate", 0.3)),
+    "rough": CUSTOMER_NOISE,
+    "clean": noise(5, ["cust no", "segment", "balance"], ("typo", 0.0)),
+}
+
+
+def evaluate_many_runs(spark, sf_dir):
+    """Four agents on one task: each maps a copy with damage of its own; a fifth fails."""
+    expected = _customer_scoring(spark, sf_dir)
+    runs = [
+        Run(agent, replace(expected, output=migrate(apply_noise(expected.clean, damage), CUSTOMER_TASK, CUSTOMER_SCHEMA)))
+        for agent, damage in _RUN_NOISE.items()
+    ]
+    results = evaluate_many([*runs, Run("broken", expected, error="timeout")])
+    metric = F.inline(F.transform("metrics", lambda m: F.struct(m["name"].alias("name"), F.round(m["score"], 6).alias("score"))))
+    return results.select("agent_name", "passed", metric)
+
+
+_WITHOUT_FLAG = re.compile(r", FALSE(?= AS passed| FROM|\n)( AS passed)?")
+
+
+def _run_sql(agent: str, damage) -> str:
+    return f"""
+SELECT '{agent}' AS agent_name, min(score) OVER () = 1.0 AS passed, name, score FROM (
+WITH clean AS MATERIALIZED ({CUSTOMERS}),
+noisy AS MATERIALIZED ({noise_sql('clean', CUSTOMER_SOURCE_COLUMNS, CUSTOMER_NOISE)}),
+truth AS MATERIALIZED ({customer_truth_sql('clean')}),
+own AS MATERIALIZED ({noise_sql('clean', CUSTOMER_SOURCE_COLUMNS, damage)}),
+output AS MATERIALIZED ({customer_truth_sql('own')}),
+{_WITHOUT_FLAG.sub('', EVALUATE_ALL.removeprefix(_CUSTOMER_WITH + ',').rpartition('UNION ALL')[0])}
+)"""
+
+
+EVALUATE_MANY = " UNION ALL ".join(f"SELECT * FROM ({_run_sql(a, d)})" for a, d in _RUN_NOISE.items())
+
+
 # --- joins ------------------------------------------------------------------
 
 
@@ -598,6 +640,7 @@ QUERIES = {
     ),
     "best_match_wide": (best_match_wide, _wide_match_sql(WIDE_NOISE)),
     "best_match_bad": (best_match_bad, _wide_match_sql(BAD_NOISE)),
+    "evaluate_many": (evaluate_many_runs, EVALUATE_MANY),
     "fit_stats": (
         fit_stats,
         f"""SELECT CAST(min(CAST(total AS DECIMAL(12,2))) AS VARCHAR) AS low,
