@@ -13,9 +13,13 @@ from pyspark.sql import types as T
 
 from tabshift.functions.cells import na_to_null
 from tabshift.functions.names import POS, col, data_columns, has_position
+from tabshift.operators.order import placed_in_order
+from tabshift.session import cut_lineage
 
 DELIMITERS = ",;\t|"
 SNIFFED_CHARACTERS = 4096
+#: Rows of a written part file, about.
+FILE_ROWS = 1 << 20
 _ROW_BITS = 33
 _BAD = "_bad_record"
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
@@ -105,7 +109,7 @@ def _file_offsets(spark: SparkSession, path: str, bits: int) -> DataFrame:
     return files.select("file_path", F.coalesce(before, F.lit(0)).alias("_base"))
 
 
-def _positioned(spark: SparkSession, path: str, raw: DataFrame, names: list[str]) -> DataFrame:
+def _positioned(spark: SparkSession, path: str, raw: DataFrame, names: list[str], *keep: str) -> DataFrame:
     """Position from (file, place of the split in the file, row in the split).
     The running row id alone follows the scheduling of splits, not the files."""
     bits = _block_bits(spark)
@@ -125,16 +129,64 @@ def _positioned(spark: SparkSession, path: str, raw: DataFrame, names: list[str]
         scanned = scanned.join(offsets, F.col("_file") == F.col("file_path"))
         base = F.col("_base")
     position = F.shiftleft(base + F.col("_block"), _ROW_BITS) + F.col("_row")
-    return scanned.select(*[col(c) for c in names], position.alias(POS))
+    return scanned.select(*[col(c) for c in names], position.alias(POS), *keep)
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """(_text, _pos) of the records of splittable files whose quoted cells may hold line breaks.
+
+    Lines are read by split. Whether a line begins inside a quoted cell is the parity of the
+    quotes before it in its file: counted for each 2**16 lines first, by a prefix sum of those
+    counts, and within such a group by a window. Lines on their own are records; of the others,
+    the k-th and following up to the next line with an odd number of quotes are the k-th
+    record that spans lines, whichever splits they are in."""
+    lines = _positioned(spark, path, spark.read.option("lineSep", "\n").text(path), ["value"], "_file")
+    odd = (F.length("value") - F.length(F.translate("value", '"', ""))) % 2
+    rows = lines.select("*", F.shiftright(POS, 16).alias("_g"), odd.cast("bigint").alias("_odd"))
+    text = F.when(~F.col("value").isin("", "\r"), F.col(POS))
+    # one row for 2**16 lines, written: the files are read once for it and once for the rows
+    returned = F.when(F.col("value").endswith("\r"), F.col(POS))
+    counts = cut_lineage(
+        rows.groupBy("_g").agg(F.min("_file").alias("_file"), F.sum("_odd").alias("_n"), F.min(text).alias("_first"), F.min(returned).alias("_cr"))
+    )
+    in_file = Window.partitionBy("_file").orderBy("_g")
+    before = F.coalesce(F.sum("_n").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    least = lambda c: F.min(c).over(Window.partitionBy("_file"))
+    # where the first line ends in a carriage return, line breaks in cells are line feeds
+    crlf = F.coalesce(least("_cr") == least("_first"), F.lit(False))
+    groups = counts.select("_g", before.alias("_before"), least("_first").alias("_header"), crlf.alias("_crlf"))
+    in_group = Window.partitionBy("_g").orderBy(POS).rowsBetween(Window.unboundedPreceding, -1)
+    odd_before = F.col("_before") + F.coalesce(F.sum("_odd").over(in_group), F.lit(0))
+    ranked = rows.join(groups, "_g").select("value", POS, "_header", "_crlf", "_odd", odd_before.alias("_quotes"))
+    inside = (F.col("_quotes") % 2 == 1) | (F.col("_odd") == 1)
+    alone = ranked.filter(~inside).select("value", POS, "_header")
+    parts = F.array_sort(F.collect_list(F.struct(POS, "value")))
+    spanning = ranked.filter(inside).groupBy("_header", "_crlf", F.shiftright("_quotes", 1).alias("_k")).agg(parts.alias("_parts"))
+    whole = F.array_join(F.transform("_parts", lambda x: x["value"]), "\n")
+    joined = spanning.select(
+        F.when(F.col("_crlf"), F.replace(whole, F.lit("\r\n"), F.lit("\n"))).otherwise(whole).alias("value"), F.col("_parts")[0][POS].alias(POS), "_header"
+    )
+    ended = F.regexp_replace("value", r"\r\z", "")
+    # the first line with text of a file is its header; blank lines are no records
+    return alone.union(joined).filter((F.col(POS) != F.col("_header")) & ~F.col("value").isin("", "\r")).select(ended.alias("_text"), POS)
+
+
+def _is_large(spark: SparkSession, path: str) -> bool:
+    """Whether a file has more than one split."""
+    files = spark.read.format("binaryFile").load(path).select("_metadata.file_size")
+    largest = files.agg(F.max("file_size")).first()[0] or 0
+    return largest > _setting_bytes(spark, "spark.sql.files.maxPartitionBytes")
 
 
 def read_table(
-    spark: SparkSession, path: str, *, multi_line: bool = True, delimiter: str | None = None
+    spark: SparkSession, path: str, *, multi_line: bool = True, delimiter: str | None = None, split: bool | None = None
 ) -> DataFrame:
     """Lazy all-text table with positions; missing-value texts are null. A
     missing path raises FileNotFoundError. Rows with too few fields are padded, rows with
-    too many fail the read. Quoted cells may hold line breaks, so a file is read by one
-    task; `multi_line=False` splits large files, for tables known to have no such cell."""
+    too many fail the read. Quoted cells may hold line breaks. Files of more than one split
+    are read by many tasks and their records put together again (`split` forces or forbids
+    that), small ones by a task each. `multi_line=False` spares the work for tables that are
+    known to have no line break in a cell."""
     head = _head(spark, path)
     delimiter = delimiter or sniff_delimiter(head)
     names = header_names(head, delimiter)
@@ -143,23 +195,19 @@ def read_table(
     # positional stand-ins keep names with dots and quotes out of the reader
     plain = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*plain, _BAD]])
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("sep", delimiter)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        .option("multiLine", multi_line)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("enforceSchema", True)
-        .option("columnNameOfCorruptRecord", _BAD)
+    options = {
+        "sep": delimiter, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+        "columnNameOfCorruptRecord": _BAD,
         # a parser that skips columns does not notice that a row has too many
-        .option("columnPruning", False)
-        .csv(path)
-    )
-    placed = _positioned(spark, path, raw.filter(_not_too_long(delimiter, len(plain))), plain)
+        "columnPruning": "false",
+    }
+    fits = _not_too_long(delimiter, len(plain))
+    if multi_line and (_is_large(spark, path) if split is None else split):
+        parsed = _records(spark, path).select(F.from_csv("_text", schema.simpleString()[7:-1].replace(":", " "), options).alias("r"), POS)
+        placed = parsed.select("r.*", POS).filter(fits)
+    else:
+        raw = spark.read.schema(schema).options(header=True, encoding="UTF-8", multiLine=multi_line, enforceSchema=True, **options).csv(path)
+        placed = _positioned(spark, path, raw.filter(fits), plain)
     return placed.select(*[na_to_null(F.col(c)).alias(n) for c, n in zip(plain, names)], POS)
 
 
@@ -167,7 +215,7 @@ def write_table(df: DataFrame, path: str) -> None:
     """Write a table in its order: header, null as empty, overwriting. The part
     files are in order, so reading the folder back gives the same sequence."""
     names = data_columns(df)
-    ordered = df.orderBy(POS) if has_position(df) else df
+    ordered = placed_in_order(df, FILE_ROWS) if has_position(df) else df
     # a missing cell that is a whole row would be a blank line, which readers skip
     lone = len(names) == 1
     cells = [F.coalesce(col(c), F.lit("")).alias(c) if lone else col(c) for c in names]

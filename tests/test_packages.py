@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabshift.functions.names import POS, data_columns
 from tabshift.operators.checks import duplicated_values, null_counts
 from tabshift.operators.metrics import Scoring
+from tabshift.operators.order import placed_in_order
 from tabshift.operators.summary import summarize
 from tabshift.plans.build import build_package
 from tabshift.plans.evaluate import MetricResult, EvaluationResult, evaluate, failed_run
@@ -474,3 +475,51 @@ def test_a_cluster_needs_a_shared_folder(spark):
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_base(session)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("split", [30, 150])
+def test_split_files_read_as_whole_ones(spark, rows, tmp_path, end, split):
+    """Records over several lines and splits are put together, whatever the cells hold."""
+    cells = ["a\nb", '"', "\n", '\n\n"x",', "é;\n ", "\r\n", ",", '""\n""', "plain", " ", 'x"\n"y']
+    quoted = lambda c: '"' + c.replace('"', '""') + '"'
+    lines = [f'"first{end}line",b', "", *(f"{quoted(a)},{quoted(b)}" for a in cells for b in cells), "only one", "", ","]
+    for name in ("0.csv", "1.csv"):
+        (tmp_path / name).write_bytes((end.join(lines) + end).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(split))
+    try:
+        whole, parts = (read_table(spark, str(tmp_path), split=s, delimiter=",") for s in (False, True))
+        assert parts.columns == whole.columns
+        assert rows(parts) == rows(whole)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_large_files_are_split(spark, rows, tmp_path):
+    """A file of several splits with line breaks in every second row, by many tasks."""
+    want = [(str(i), f'line "{i}"\nnext' if i % 2 else f"plain {i}") for i in range(4000)]
+    text = "n,t\n" + "".join('%s,"%s"\n' % (n, t.replace('"', '""')) for n, t in want)
+    (tmp_path / "large.csv").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "4000")
+    try:
+        found = read_table(spark, str(tmp_path / "large.csv"))
+        assert spark.read.option("lineSep", "\n").text(str(tmp_path / "large.csv")).rdd.getNumPartitions() > 5
+        assert rows(found) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_tables_are_written_in_order_without_a_sort_of_all(spark, table, rows, tmp_path, monkeypatch):
+    import tabshift.sources.csv as source
+
+    monkeypatch.setattr(source, "FILE_ROWS", 3)
+    shuffled = table(["a"], [[str(i)] for i in range(50)]).withColumn(POS, (F.col(POS) * 70_001) % 65_537 * 65_536)
+    write_table(shuffled.repartition(4), str(tmp_path / "t"))
+    want = [r["a"] for r in shuffled.orderBy(POS).collect()]
+    assert [r[0] for r in rows(read_table(spark, str(tmp_path / "t")))] == want
+    plan = placed_in_order(shuffled, 3)._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan

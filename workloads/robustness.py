@@ -20,10 +20,10 @@ from workloads.specs import rule as mapping_rule
 from workloads.tables import CUSTOMERS, ORDERS, SUPPLIERS, customers, orders, suppliers
 
 
-def _back(spark, df, name):
+def _back(spark, df, name, **how):
     folder = shared_folder(spark, name)
     write_table(df, folder)
-    back = with_index(read_table(spark, folder))
+    back = with_index(read_table(spark, folder, **how))
     return back.select(*[col(c) for c in back.columns if c not in (POS, "_idx")], F.col("_idx").alias("row_index"))
 
 
@@ -31,7 +31,7 @@ def csv_line_breaks(spark, sf_dir):
     """Names with line breaks, quotes and delimiters survive writing and reading."""
     df = customers(spark, sf_dir)
     name = F.concat(col("cust.name"), F.lit('\nc/o "x", '), F.col("nation"))
-    return _back(spark, df.select("`cust no`", name.alias("name"), POS), "csv")
+    return _back(spark, df.select("`cust no`", name.alias("name"), POS), "csv", split=True)
 
 
 CSV_LINE_BREAKS = f"""
@@ -53,7 +53,7 @@ def csv_short_lines(spark, sf_dir):
     """The delimiter of short lines shows only beyond the first of them."""
     folder = shared_folder(spark, "csv")
     df = customers(spark, sf_dir).select(col("cust no").alias("k"), F.col("nation").alias("n"))
-    df.coalesce(1).write.option("header", True).option("sep", ";").csv(folder)
+    df.write.option("header", True).option("sep", ";").csv(folder)
     return read_table(spark, folder).drop(POS)
 
 
