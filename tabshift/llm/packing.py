@@ -15,7 +15,9 @@ are pieces of their own; an empty table gives no row.
 
 from __future__ import annotations
 
+import functools
 import os
+import unicodedata
 import zlib
 from dataclasses import dataclass
 
@@ -45,12 +47,21 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 # ---------------------------------------------------------------- tokens
 
 
+@functools.cache
+def _closed(last: str) -> bool:
+    """Whether a word's last character is a letter or digit for the tokenizer, which
+    composes and lower-cases: `İ` ends in a mark then, and marks join punctuation. Only
+    characters that all versions of Unicode since 3.2 know count."""
+    forms = {last, unicodedata.normalize("NFC", last).lower(), unicodedata.normalize("NFC", last.lower())}
+    return all(f and unicodedata.ucd_3_2_0.category(f[-1])[0] in "LN" for f in forms)
+
+
 class WordTokens:
     """Token ids of whole texts, word by word.
 
     The vocabulary drops white space and never joins across it, so a text's ids are its
-    white-space separated words' ids one after the other. Nor does it join a letter or digit
-    with punctuation after it, and it has no capitals: a word's core in small letters and its
+    white-space separated words' ids one after the other. Nor does it join a letter or digit,
+    once composed and lower-cased, with punctuation after it, and it has no capitals: a word's core in small letters and its
     tail are encoded apart, each distinct one once."""
 
     def __init__(self, path: str):
@@ -82,11 +93,13 @@ class WordTokens:
     @staticmethod
     def _parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
         """Core and tail of distinct words. Words with the mark of a special token stay
-        as they are, and so do those whose core would not end in a letter or digit."""
+        as they are, and so do those whose core, normalised, would not end in a letter or digit."""
         special = pc.match_substring(words, "<|")
         small = pc.if_else(special, words, pc.ascii_lower(words))
         core = pc.utf8_rtrim(small, characters=_TAIL)
-        apart = pc.and_(pc.match_substring_regex(core, r"[\p{L}\p{N}]$"), pc.invert(special))
+        last = pc.utf8_slice_codeunits(core, -1).dictionary_encode()
+        closed = pa.array([_closed(c) for c in last.dictionary.to_pylist()], pa.bool_())
+        apart = pc.and_(closed.take(last.indices), pc.invert(special))
         data, offsets = bytes_of(small)
         size = pc.binary_length(core).to_numpy()
         left = np.diff(offsets) - size

@@ -42,6 +42,23 @@ def test_any_text_gives_the_same_ids(text):
     assert P._words.ids(pa.array([text]))[0].tolist() == ids_of(own, text)
 
 
+# letters whose lower case or composed form ends in a mark, composed and not, and others
+LETTERS = ["İ", "I\u0307", "i\u0307", "é", "e\u0301", "É", "ﬁ", "ß", "ẞ", "Σ", "\u0958", "\u0915\u093c", "\ufb1d", "\u05d9\u05b4", "ǅ", "가", "\u1100\u1161", "½", "²", "a", "Z", "9", "_", "日"]
+
+
+def test_every_letter_before_every_tail_mark(tokenizer):
+    texts = [a + b + m + n for a in ("", "x") for b in LETTERS for m in P._TAIL for n in ("", "!", ".a")]
+    ids, offsets = P.WordTokens(P.tokenizer_path()).ids(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == ids_of(tokenizer, text), text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*LETTERS, *P._TAIL, " ", "'", "-", "\u0307", "\u0301", "<|"]), max_size=12).map("".join))
+def test_text_of_such_letters_gives_the_same_ids(text):
+    test_any_text_gives_the_same_ids.hypothesis.inner_test(text)
+
+
 def check(rows, tokenizer, texts, capacity):
     """Every token is in place once and sequences have no gaps."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
