@@ -3,14 +3,17 @@
 A document's statistics (length, word length, symbols, repeated lines, repeated word windows)
 are transformed into a vector. For each language and source the MCD gives a centre and a
 scatter that outliers cannot pull: from a start by medians and quartiles, concentration steps
-take the half of the rows with the smallest Mahalanobis distances and estimate anew. A
-document far from its group is rejected. Groups with few rows use their language's
-estimate, and languages with few rows that of all.
+take the half of the rows with the smallest Mahalanobis distances and estimate anew, until a
+group's determinant falls no further. Every group has its own estimate, shrunk towards its
+language's, and that towards the estimate of all, by n / (n + `SHRINK_ROWS`) for n rows: the
+weight of a group grows smoothly with its rows. A document far from its group is rejected.
 
 Everything is DataFrame functions. A concentration step is one aggregation: distances fall
 into fine logarithmic buckets, and each (group, bucket) keeps its count, sums and products,
 so the half is a running total over at most `BUCKETS` rows a group, and a group of any size
-is pre-aggregated before its shuffle. Statistics and estimates cover all rows.
+is pre-aggregated before its shuffle. Estimates are written and sent to the rows, or, where
+there are too many of them, met by rows dealt over salted copies: no task takes a whole
+group. Statistics and estimates cover all rows.
 
 Defined cases: a null or empty text has no words and fails the base rules; null languages
 and sources are groups of their own; windows are compared by 64-bit hashes; a statistic
@@ -23,12 +26,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabshift.llm.common import written
+from tabshift.llm.common import BROADCAST_BYTES, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_GROUP = 200
-CONCENTRATION_STEPS = 5
+#: Rows at which a group's own estimate weighs as much as its parent's.
+SHRINK_ROWS = 50
+#: A step goes on where the determinant falls by more than this share.
+LEAST_FALL = 1e-6
+#: Copies of an estimate, where they are too many to be sent to all tasks.
+SALTS = 32
 #: 0.99999 quantile and median of chi-square with five degrees of freedom.
 CUTOFF, MEDIAN = 30.856, 4.3515
 #: Least standard deviation of each statistic, so that constant ones can be inverted.
@@ -143,9 +150,18 @@ def _squared() -> Column:
     return sum(terms, F.lit(0.0))
 
 
+def _with(rows: DataFrame, table: DataFrame, key: str = "_g", how: str = "inner") -> DataFrame:
+    """Rows with the entry of their group in a written table of one row a group."""
+    if table.count() * 8 * len(table.columns) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table), key, how)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*(f"_x{k}" for k in range(DIM))), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """`rows` with the squared distance _d: |W (x - m)|^2 with W the inverse factor."""
-    return rows.join(estimate, "_g").withColumn("_d", _squared())
+    return _with(rows, estimate).withColumn("_d", _squared())
 
 
 def _bucket(d: Column) -> Column:
@@ -180,12 +196,14 @@ def _inverse_factor(moments: DataFrame) -> DataFrame:
     return out
 
 
-_MOMENTS = [f"_m{k}" for k in range(DIM)] + [f"_i{k}{j}" for k in range(DIM) for j in range(k + 1)]
+_PAIRS = [(k, j) for k in range(DIM) for j in range(k + 1)]
+_FACTOR = [f"_m{k}" for k in range(DIM)] + [f"_i{k}{j}" for k, j in _PAIRS]
+#: Centre and scatter.
+_SHAPE = [f"_m{k}" for k in range(DIM)] + [f"_s{k}{j}" for k, j in _PAIRS]
 
 
 def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """One concentration step; also _scale, which brings the median distance to the
-    chi-square median."""
+    """One concentration step: centre, scatter, inverse factor, rows and determinant."""
     near = _distance(rows, estimate).withColumn("_b", _bucket(F.col("_d")))
     sums = near.groupBy("_g", "_b").agg(
         F.count("*").alias("_n"),
@@ -198,12 +216,14 @@ def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     half = sums.filter(F.col("_before") < F.floor((F.col("_all") + DIM + 1) / 2))
     total = half.groupBy("_g").agg(
         F.sum("_n").alias("_h"),
+        F.first("_all").alias("_rows"),
         *(F.sum(f"_a{k}").alias(f"_a{k}") for k in range(DIM)),
         *(F.sum(f"_p{k}{j}").alias(f"_p{k}{j}") for k in range(DIM) for j in range(k + 1)),
     )
     h = F.col("_h")
     moments = total.select(
         "_g",
+        "_rows",
         *((F.col(f"_a{k}") / h).alias(f"_m{k}") for k in range(DIM)),
         *(
             (
@@ -213,27 +233,43 @@ def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
             for j in range(k + 1)
         ),
     )
-    return _inverse_factor(moments).select("_g", *_MOMENTS)
+    log_det = sum((2 * F.log(F.col(f"_l{k}{k}")) for k in range(DIM)), F.lit(0.0))
+    return _inverse_factor(moments).select("_g", "_rows", log_det.alias("_det"), *_SHAPE, *_FACTOR[DIM:])
 
 
-def _scale(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """_g, _scale: median squared distance over the chi-square median, at least 1: the
-    scatter of the inner half understates that of all clean rows."""
-    counts = _distance(rows, estimate).groupBy("_g", _bucket(F.col("_d")).alias("_b")).agg(F.count("*").alias("_n"))
-    part = Window.partitionBy("_g")
+def _scale(near: DataFrame, group: str) -> DataFrame:
+    """`group`, _scale: median squared distance _d over the chi-square median, at least 1:
+    the scatter of the inner half understates that of all clean rows."""
+    counts = near.groupBy(group, _bucket(F.col("_d")).alias("_b")).agg(F.count("*").alias("_n"))
+    part = Window.partitionBy(group)
     up = part.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumns({"_up": F.sum("_n").over(up), "_all": F.sum("_n").over(part)})
     median = F.min(F.when(F.col("_up") * 2 >= F.col("_all"), F.col("_b") + 1))
-    return counts.groupBy("_g").agg(F.greatest(F.expm1(median / BUCKETS_PER_UNIT) / MEDIAN, F.lit(1.0)).alias("_scale"))
+    return counts.groupBy(group).agg(F.greatest(F.expm1(median / BUCKETS_PER_UNIT) / MEDIAN, F.lit(1.0)).alias("_scale"))
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """Centre, scatter and rows of each group _g of rows with _x0.._x4. A group takes steps
+    until its determinant falls no further; each step is one pass for all open groups."""
+    state = written(_concentrate(rows, written(_start(rows))))
+    done = None
+    while not state.isEmpty():
+        open_rows = _with(rows, written(state.select("_g")))
+        before = state.select("_g", *(F.col(c).alias(f"{c}_") for c in state.columns if c != "_g"))
+        both = written(_concentrate(open_rows, state.select("_g", *_FACTOR)).join(before, "_g"))
+        falls = F.col("_det") < F.col("_det_") - LEAST_FALL
+        rest = both.filter(~falls).select("_g", F.col("_rows_").alias("_rows"), *(F.col(f"{c}_").alias(c) for c in _SHAPE))
+        done = rest if done is None else done.unionAll(rest)
+        state = written(both.filter(falls).select(*state.columns))
+    return state.select("_g", "_rows", *_SHAPE) if done is None else done
 
 
-def estimates(rows: DataFrame, steps: int = CONCENTRATION_STEPS) -> DataFrame:
-    """Centre, inverse factor and scale of each group _g of rows with _x0.._x4."""
-    estimate = _start(rows)
-    for _ in range(steps):
-        estimate = _concentrate(rows, estimate)
-    estimate = written(estimate)
-    return estimate.join(_scale(rows, estimate), "_g")
+def _shrunk(own: DataFrame, parent: DataFrame, up: str) -> DataFrame:
+    """`own` (_g, `up`, _rows, shape) drawn towards the shape of its parent group."""
+    w = F.col("_rows") / (F.col("_rows") + SHRINK_ROWS)
+    above = parent.select(F.col("_g").alias(up), *(F.col(c).alias(f"{c}_") for c in _SHAPE))
+    mixed = {c: w * F.col(c) + (1 - w) * F.col(f"{c}_") for c in _SHAPE}
+    return own.join(above, up).select(*own.drop(*_SHAPE).columns, *(v.alias(c) for c, v in mixed.items()))
 
 
 def _own_groups() -> dict[str, Column]:
@@ -260,15 +296,20 @@ def quality(docs: DataFrame, text: str = "text", language: str = "lang", source:
     stats = written(statistics(packed))
     rows = stats.withColumns({f"_x{k}": v for k, v in enumerate(vector())} | _own_groups())
     clean = rows.filter(~base_failed()).select("_g0", "_g1", "_g2", *(f"_x{k}" for k in range(DIM)))
-    # the level of each language and source, from counts alone
-    fine = clean.groupBy("_g0", "_g1", "_g2").agg(F.count("*").alias("_n0"))
-    mid = fine.groupBy("_g1").agg(F.sum("_n0").alias("_n1"))
-    enough = F.when(F.col("_n0") >= MIN_GROUP, F.col("_g0")).when(F.col("_n1") >= MIN_GROUP, F.col("_g1"))
-    level = written(fine.join(mid, "_g1").select("_g0", enough.otherwise(F.col("_g2")).alias("_g")))
-    # coarse groups are estimated from all their rows, not only from those of small sources
+    groups = written(clean.select("_g0", "_g1", "_g2").distinct())
     spread = clean.select(F.explode(F.array("_g0", "_g1", "_g2")).alias("_g"), *(f"_x{k}" for k in range(DIM)))
-    learned = estimates(spread.join(level.select("_g").distinct(), "_g", "left_semi"))
-    found = rows.join(level.join(learned, "_g").drop("_g"), "_g0", "left")
+    raw = written(estimates(spread))
+    named = lambda g, *up: groups.select(F.col(g).alias("_g"), *up).distinct().join(raw, "_g")
+    languages = _shrunk(named("_g1", "_g2"), raw, "_g2")
+    factors = _inverse_factor(_shrunk(named("_g0", "_g1"), languages, "_g1"))
+    learned = written(factors.select(F.col("_g").alias("_g0"), "_rows", *_FACTOR))
+    near = _with(clean, learned, "_g0").select("_g0", "_g2", _squared().alias("_d"))
+    # the scale of few rows is drawn towards that of all rows as well
+    everywhere = _scale(near, "_g2").select(F.col("_scale").alias("_scale_"))
+    w = F.col("_rows") / (F.col("_rows") + SHRINK_ROWS)
+    scaled = learned.join(_scale(near, "_g0"), "_g0").crossJoin(F.broadcast(everywhere))  # one row
+    learned = written(scaled.withColumn("_scale", w * F.col("_scale") + (1 - w) * F.col("_scale_")).drop("_scale_", "_rows"))
+    found = _with(rows, learned, "_g0", "left")
     far = _squared() / F.col("_scale")
     return found.select(
         *(F.col(f"_o.`{c}`") for c in others),
