@@ -43,8 +43,8 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def training(column: F.Column, folds: int, held_out: int) -> F.Column:
-    """Not in the held-out fold of crc32(id as text)."""
-    return F.crc32(column.cast("string").cast("binary")) % folds != held_out
+    """Not in the held-out fold of crc32(id as text); a null id is held out, whatever the fold."""
+    return F.coalesce(F.crc32(column.cast("string").cast("binary")) % folds != held_out, F.lit(False))
 
 
 def bytes_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -10,16 +10,19 @@ equal values stay equal in all documents, and different ones of a format stay di
 | --- | --- | --- |
 | email | shape | letters and digits of the local part |
 | ip | four octets | the 32 bits |
-| iban | country, length, mod 97 | letters and digits after the check digits |
+| iban | country, length, mod 97; any case, spaces or hyphens | letters and digits after the check digits |
 | card | 13 to 19 digits, Luhn | all digits but the last, which is computed |
 | date | calendar, four-digit year | days of its two centuries |
 | ssn | issued areas | digits, walking past areas never issued |
-| phone | 8 to 15 digits, `+` or area code | digits after the country code |
-
-The key comes from the caller, else from `spark.tabshift.pseudonym.key`; the default below is
-for tests. Defined cases: null texts stay null, empty ones empty; values that fail their
-check stay as they are; repeated rows and all other columns are kept; a value may, by
-chance of one in the count of its format, map to itself.
+| phone | 8 to 15 digits, `+` or area code | all digits after the assigned country code |
+
+The key comes from the caller, else from `spark.tabshift.pseudonym.key`; without one the
+operator refuses. Values are equal by their digits or letters, whatever separates them. Left as
+they are, because too many other numbers look like them: national phone numbers without
+brackets or hyphens (030 12345678), dates with two-digit years, without separators or with
+names of months (31.12.99, 20240131, Jan 5, 2024). Defined cases: null texts stay null, empty
+ones empty; values that fail their check stay; repeated rows and all other columns are kept; a
+value may, by chance of one in the count of its format, map to itself.
 """
 
 from __future__ import annotations
@@ -40,7 +43,6 @@ from pyspark.sql import types as T
 from tabshift.llm.common import column, fresh, map_arrow, slices
 
 KEY_SETTING = "spark.tabshift.pseudonym.key"
-TEST_KEY = "not a secret; set spark.tabshift.pseudonym.key"
 ROUNDS = 10
 
 
@@ -132,29 +134,45 @@ def _iban_pattern() -> str:
     by_length: dict[int, list[str]] = {}
     for country, n in IBAN_LENGTHS.items():
         by_length.setdefault(n, []).append(country)
-    forms = (f"(?:{'|'.join(c)})\\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in by_length.items())
+    forms = (f"(?:{'|'.join(c)})\\d{{2}}(?:[ -]?[A-Z0-9]){{{n - 4}}}" for n, c in by_length.items())
     return rf"(?<!\w)(?=[A-Z]{{2}}\d{{2}})(?:{'|'.join(forms)})(?!\w)"
 
 
+def _cased(shape: str, value: str) -> str:
+    """`value` with the case of the letters of `shape`, letter by letter in a lower-case one."""
+    return value.lower() if shape == shape.lower() else value
+
+
 def _mod97(country: str, check: str, body: str) -> int:
     return int("".join(str(int(c, 36)) for c in body + country + check)) % 97
 
 
 def iban(value: str, cipher: Cipher) -> str | None:
-    plain = re.sub(r"\s", "", value)
+    plain = re.sub(r"[\s-]", "", value).upper()
     country, check, body = plain[:2], plain[2:4], plain[4:]
     if IBAN_LENGTHS.get(country) != len(plain) or _mod97(country, check, body) != 1:
         return None
     body = cipher.characters(f"iban {country}", body)
-    return _refill(value, f"{country}{98 - _mod97(country, '00', body):02d}{body}")
+    return _refill(value, _cased(value, f"{country}{98 - _mod97(country, '00', body):02d}{body}"))
+
+
+# Country codes of two digits; those of one are 1 and 7, all others have three.
+TWO_DIGIT_CODES = """20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66
+81 82 84 86 90 91 92 93 94 95 98""".split()
+
+
+def country_code(digits: str) -> str:
+    """The country code that an international number begins with."""
+    if digits[0] in "17":
+        return digits[0]
+    return digits[:2] if digits[:2] in TWO_DIGIT_CODES else digits[:3]
 
 
 def phone(value: str, cipher: Cipher) -> str | None:
     digits = re.sub(r"\D", "", value)
     if not 8 <= len(digits) <= 15:
         return None
-    code = re.match(r"\+(1|\d{1,3})", value)
-    kept = len(code[1]) if code else 0
+    kept = len(country_code(digits)) if value.startswith("+") else 0
     return _refill(value, digits[:kept] + cipher.characters(f"phone {digits[:kept]}", digits[kept:]))
 
 
@@ -205,13 +223,14 @@ def calendar(value: str, cipher: Cipher) -> str | None:
 KINDS: list[tuple[str, re.Pattern, Callable]] = [
     ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", re.A), email),
     ("ip", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)", re.A), ip),
-    ("iban", re.compile(_iban_pattern(), re.A), iban),
+    ("iban", re.compile(_iban_pattern(), re.A | re.I), iban),
     ("card", re.compile(r"(?<!\w)\d{13,19}(?!\w)", re.A), card),
     ("card", re.compile(r"(?<!\w)(?:(?:\d{4}[ -]){3}\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)", re.A), card),
     ("date", re.compile(r"(?<![\w.-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?:(?![\w-])|(?=T\d))", re.A), calendar),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A), ssn),
     ("phone", re.compile(r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)", re.A), phone),
-    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?(?:\(\d{1,5}\)|\d{2,5})){2,5}(?!\w)", re.A), phone),
+    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?(?:\(\d{1,5}\)|\d{2,5})){1,4}(?!\w)", re.A), phone),
+    ("phone", re.compile(r"(?<![\w+])\+\d{8,15}(?!\w)", re.A), phone),
     ("phone", re.compile(r"(?<![\w+-])(?:\(\d{3}\) ?\d{3}|\d{3}-\d{3})[.-]\d{4}(?![\w-])", re.A), phone),
 ]
 
@@ -250,7 +269,10 @@ def replace(text: str, found: list[tuple[int, int, str, str]]) -> str:
 
 
 def key_of(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_SETTING, TEST_KEY)
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"pseudonyms need a key: give one, or set {KEY_SETTING}")
+    return key
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, found: str = "private") -> DataFrame:

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabshift.llm import alignment, centroids, chat, decontaminate, jaccard, language, packing, pseudonyms, quality, secrets, toxicity, urls, warc
-from tabshift.llm.common import load, training
+from tabshift.llm.common import checked_broadcast, load, training, written
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     labels = load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     learn = training(F.col("doc_id"), 3, 1)
-    labelled = docs.filter(learn).join(labels.filter(learn), "doc_id")
-    model = toxicity.train(labelled.withColumnRenamed("doc_id", "id"))
+    drawn = written(toxicity.drawn(labels.filter(learn).withColumnRenamed("doc_id", "id")))
+    labelled = docs.withColumnRenamed("doc_id", "id").join(checked_broadcast(drawn), "id")
+    model = toxicity.train(labelled)
     return toxicity.score(docs, model).select(
         "doc_id", (~learn).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
     )
@@ -81,8 +82,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs).drop("lang", "source")
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's key; queries over test tables may go without one."""
+    return spark.conf.get(pseudonyms.KEY_SETTING, "test tables only")
+
+
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonyms.pseudonymise(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pseudonyms.pseudonymise(load(spark, sf_dir, "documents").select("doc_id", "text"), key=pseudonym_key(spark))
     return found.withColumn("n_private", F.size("private"))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabshift.llm.common import column, fresh, map_arrow, slices
+from tabshift.llm.common import column, fresh, map_arrow, slices, written
 from tabshift.llm.text import Words, mix, words
 
 MAX_LABELLED = 16_000
@@ -140,15 +140,27 @@ def grammar() -> Transducer:
 THREAT_WEIGHT = 4.0
 
 
+def symbol_of(word: str, weight: float) -> tuple[str, float]:
+    """A word's symbol and own weight. Words of the grammar keep their symbols, so a threat
+    verb counts only in a threat, whatever was learned of it; what was learned is then its
+    weight. Other words are insults where they have a learned weight."""
+    fixed = FIXED.get(word)
+    if fixed == THREAT:
+        return THREAT, weight or THREAT_WEIGHT
+    return (fixed, 0.0) if fixed else (INSULT, weight) if weight else (OTHER, 0.0)
+
+
 def clause_weight(machine: Transducer, symbols: list[tuple[str, float]]) -> float:
-    """Sum of the weights a clause gets; `symbols` has each word's symbol and own weight."""
-    state, total = machine.start, 0.0
+    """Sum of the weights a clause gets; `symbols` has each word's symbol and own weight. A
+    threat that its target carries has the verb's weight."""
+    state, total, verb = machine.start, 0.0, THREAT_WEIGHT
     for symbol, own in symbols:
+        verb = own if symbol == THREAT else verb
         state, out, w = machine.step(state, symbol)
         if out == INSULT:
             total += w * own
         elif out == THREAT:
-            total += w * THREAT_WEIGHT
+            total += w * verb
     return total
 
 
@@ -293,10 +305,7 @@ def features(texts: pa.Array, lex: Lexicon, machine: Transducer) -> np.ndarray:
     raw = w.data.tobytes()
     for c in clause.tolist():
         a, b = begin[c], begin[c + 1]
-        symbols = [
-            (INSULT, weight[k]) if weight[k] else (FIXED.get(raw[w.starts[k] : w.ends[k]].decode(), OTHER), 0.0)
-            for k in range(a, b)
-        ]
+        symbols = [symbol_of(raw[w.starts[k] : w.ends[k]].decode(), weight[k]) for k in range(a, b)]
         value = clause_weight(machine, symbols)
         row = out[owner[a]]
         row[0] += value > 0
@@ -343,12 +352,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
     return b
 
 
-def train(labelled: DataFrame, most: int = MAX_LABELLED) -> Model:
-    """`labelled`: id, text, toxic."""
-    rows = labelled.filter("toxic is not null")
-    n = rows.count()
+def drawn(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
+    """About `most` of the labelled rows (id, toxic, ...), by a hash of their ids."""
+    rows = labels.filter("toxic is not null")
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("id")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.filter(draw < min(1.0, most / max(n, 1))).select("text", F.col("toxic").cast("int").alias("toxic"))
+    return rows.filter(draw < min(1.0, most / max(rows.count(), 1)))
+
+
+def train(labelled: DataFrame, most: int = MAX_LABELLED) -> Model:
+    """`labelled`: id, text, toxic. Where texts are stored apart from many labels, draw the
+    labels first, so that only drawn texts are read on."""
+    sample = written(drawn(labelled, most).select("text", F.col("toxic").cast("int").alias("toxic")))
     lex, machine = learn_lexicon(sample), grammar()
     sent = labelled.sparkSession.sparkContext.broadcast((lex, machine))
 

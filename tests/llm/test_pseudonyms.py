@@ -88,7 +88,7 @@ def test_equal_values_stay_linked():
 def test_awkward_rows(spark):
     value = "ann.lee@example.com 4111111111111111"
     docs = documents(spark, [(1, None), (2, ""), (3, value), (3, value), (None, f"é {value}"), (4, "word 1 " * 60_000 + value)], clash=True)
-    got = P.pseudonymise(docs)
+    got = P.pseudonymise(docs, key="test")
     assert got.columns == [*docs.columns, "private_"] and got.count() == 6
     rows = got.collect()
     assert not any("4111111111111111" in (r["text"] or "") or "ann.lee" in (r["text"] or "") for r in rows)
@@ -99,4 +99,32 @@ def test_awkward_rows(spark):
 
 
 def test_empty_table(spark):
-    assert P.pseudonymise(documents(spark, [])).collect() == []
+    assert P.pseudonymise(documents(spark, []), key="test").collect() == []
+
+
+@pytest.mark.parametrize(
+    "spellings",
+    [
+        ["+49 30 1234567", "+49301234567", "+4930 1234567", "+49 (30) 123-4567", "+49.30.1234567"],
+        ["+1 212 555 0123", "+12125550123", "+1 (212) 555-0123", "+1-212-555-0123"],
+        ["+353 1 234 5678", "+35312345678", "+353 12 345 678"],
+        ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "de89 3704 0044 0532 0130 00", "DE89-3704-0044-0532-0130-00"],
+    ],
+)
+def test_spellings_of_a_value_get_one_pseudonym(spellings):
+    found = []
+    for value in spellings:
+        ((start, end, _, new),) = P.find(f"call {value}, now", C)
+        assert (start, end) == (5, 5 + len(value)) and len(new) == len(value)
+        found.append("".join(c for c in new if c.isalnum()).upper())
+    assert len(set(found)) == 1 and found[0] != "".join(c for c in spellings[0] if c.isalnum())
+
+
+def test_country_codes_stay():
+    assert [P.country_code(d) for d in ("12125550123", "79161234567", "4930123", "353123", "998901")] == ["1", "7", "49", "353", "998"]
+    assert P.find("+49 30 1234567", C)[0][3].startswith("+49 ")
+
+
+def test_a_key_is_required(spark):
+    with pytest.raises(ValueError, match="need a key"):
+        P.pseudonymise(documents(spark, [(1, "x")]))

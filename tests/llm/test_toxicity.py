@@ -39,6 +39,26 @@ def test_threats_need_a_modal_or_a_target(model):
     assert weight(model, "i will not hurt you") < weight(model, "i will hurt you")
 
 
+def test_learned_threat_verbs_stay_threats(model):
+    """With a learned weight, a threat verb still needs a modal or a target."""
+    learned = T.lexicon([(b"kill", True, 5.0), (b"not", True, 5.0), (b"scoundrel", True, 4.0)])
+    read = lambda text: T.features(pa.array([text]), learned, model.machine)[0, 1]
+    assert read("kill") == 0 and read("the kill switch") == 0 and read("not") == 0
+    assert read("i will kill you") == pytest.approx(np.log1p(5.0))
+    assert read("kill them") == pytest.approx(np.log1p(5.0))
+    assert read("i will hurt you") == pytest.approx(np.log1p(T.THREAT_WEIGHT))
+    assert read("a scoundrel") == pytest.approx(np.log1p(4.0))
+
+
+def test_null_ids_are_held_out(spark):
+    from pyspark.sql import functions as F
+
+    from tabshift.llm.common import training
+
+    df = spark.createDataFrame([(None,), (1,)], "id bigint")
+    assert [r[0] for r in df.select(training(F.col("id"), 3, 1)).collect()][0] is False
+
+
 def test_composition_is_the_cascade():
     a, b = T._scope(T.NEGATION, 2, {T.INSULT: 0.5}), T._reported()
     both = a.then(b, T.ALPHABET)
