@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabshift.llm import decontaminate, jaccard, language, packing, pseudonyms
 from tabshift.llm.common import checked_broadcast, fresh, load, written
-from tabshift.llm.queries import language_model
+from tabshift.llm.queries import language_model, pseudonym_key
 
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -63,7 +63,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to pseudonyms of the same format."""
     (spans,) = fresh(docs.columns, "private")
-    return _counted(pseudonyms.pseudonymise(docs, found=spans).drop(spans))
+    return _counted(pseudonyms.pseudonymise(docs, key=pseudonym_key(spark), found=spans).drop(spans))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
