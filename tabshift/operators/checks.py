@@ -114,6 +114,36 @@ def unique_issues(df: DataFrame, schema: Schema, table: str) -> DataFrame | None
     )
 
 
+def value_issues(df: DataFrame, schema: Schema, table: str) -> DataFrame:
+    """Missing and repeated values and a table without rows (VAL-5, VAL-6, VAL-8) in one pass:
+    every row gives its values of unique columns, its missing required cells and itself to
+    one aggregate, which counts them before its shuffle."""
+    required = [a.name for a in schema.attributes if a.required and a.name in df.columns]
+    unique = [a.name for a in schema.attributes if a.unique and a.name in df.columns]
+
+    def entry(kind: str, column: str | None, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(column).cast("string").alias("column"), value.cast("string").alias("value"))
+
+    nothing = F.lit(None).cast("string")
+    values = [entry("value", c, col(c)) for c in unique]
+    nulls = [F.when(col(c).isNull(), entry("null", c, nothing)) for c in required]
+    entries = F.array_compact(F.array(entry("row", None, nothing), *values, *nulls))
+    counts = df.select(F.inline(entries)).groupBy("kind", "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    kinds = counts.filter("kind <> 'value' or n > 1").groupBy("kind", "column").agg(F.sum("n").alias("n"))
+    text = {"null": "required column '%s' has missing values", "value": "unique column '%s' has repeated values"}
+    found = kinds.select(
+        F.when(F.col("kind") == "null", _issue_struct("error", "required_value_missing", F.lit(table), F.format_string(text["null"], "column"), F.col("n")))
+        .when(F.col("kind") == "value", _issue_struct("error", "uniqueness_violation", F.lit(table), F.format_string(text["value"], "column"), F.col("n")))
+        .alias("issue"),
+        "kind",
+    )
+    empty = _issue_struct("error", "empty_csv", F.lit(table), F.lit("table has no rows"), F.lit(None))
+    no_rows = F.when(F.count_if(F.col("kind") == "row") == 0, empty)
+    # a row for each column with an issue
+    listed = found.agg(F.array_compact(F.concat(F.collect_list("issue"), F.array(no_rows))).alias("issues"))
+    return listed.select(F.inline("issues"))
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """Missing cells per column, one pass (AGG-9)."""
     return df.agg(*[F.count_if(col(c).isNull()).alias(c) for c in data_columns(df)])

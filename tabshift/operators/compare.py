@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabshift.functions.cells import all_of, fingerprint
-from tabshift.functions.names import IDX, col, data_columns
+from tabshift.functions.cells import fingerprint
+from tabshift.functions.names import IDX, POS, col, data_columns
 from tabshift.operators.order import with_index
+from tabshift.session import cut_lineage
+
+#: Ranks of a block of the hash tree, in bits.
+BLOCK_BITS = 10
+#: Rows of a few numbers that are sent to every task.
+SENT_ROWS = 500_000
 
 
 def row_multiset(df: DataFrame) -> DataFrame:
@@ -41,30 +47,64 @@ def multiset_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+def _ranked_prints(df: DataFrame, names: list[str]) -> DataFrame:
+    """(_idx, _pos, _k1, _k2): rank, position and fingerprint of each row. The table is read
+    once, for 24 bytes a row; ranks are computed over these."""
+    key_1, key_2 = fingerprint([col(c) for c in names])
+    prints = cut_lineage(df.select(POS, key_1.alias("_k1"), key_2.alias("_k2")))
+    return cut_lineage(with_index(prints))
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table of numbers; few rows go to every task."""
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+
+
+def differing_rows(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(_idx, _left, _right): ranks at which two tables differ, and both positions there,
+    null where a side has no row. A written table.
+
+    A hash tree of two levels: fingerprints are combined for each 2**10 ranks, and only the
+    ranks of blocks that differ are compared; whole rows are never moved."""
+    names = data_columns(left)
+    sides = [_ranked_prints(df, names) for df in (left, right)]
+    block = F.shiftright(IDX, BLOCK_BITS)
+
+    def combined(df: DataFrame) -> DataFrame:
+        one = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), F.col(IDX), F.col("_k1"), F.col("_k2")))
+        return df.groupBy(block.alias("_b")).agg(F.struct(F.count("*"), one(2), one(3)).alias("_hash"))
+
+    a, b = (combined(s).withColumnRenamed("_hash", n) for s, n in zip(sides, ("_ha", "_hb")))
+    blocks = _sent(cut_lineage(a.join(b, "_b", "full_outer").filter(~F.col("_ha").eqNullSafe(F.col("_hb"))).select("_b")))
+    a, b = (
+        s.join(blocks, block == F.col("_b"), "left_semi").select(IDX, F.col(POS).alias(n), F.struct("_k1", "_k2").alias(f"{n}_print"))
+        for s, n in zip(sides, ("_left", "_right"))
+    )
+    rows = a.join(b, IDX, "full_outer").filter(~F.col("_left_print").eqNullSafe(F.col("_right_print")))
+    return cut_lineage(rows.select(IDX, "_left", "_right"))
+
+
 def positional_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that differ when both tables are read in order (SET-3): the index,
-    which side lacks the row, and the columns that differ. Null equals null."""
+    which side lacks the row, and the columns that differ. Null equals null. Only rows that
+    differ are fetched."""
     names = data_columns(left)
-    a = with_index(left).select(IDX, F.struct(*[col(c) for c in names]).alias("_left"))
-    b = with_index(right).select(IDX, F.struct(*[col(c) for c in names]).alias("_right"))
-    joined = a.join(b, IDX, "full_outer")
-    same = all_of(
-        [F.col("_left").getField(c).eqNullSafe(F.col("_right").getField(c)) for c in names]
-    )
-    differs = [
-        F.when(
-            ~F.col("_left").getField(c).eqNullSafe(F.col("_right").getField(c)), F.lit(c)
-        )
-        for c in names
-    ]
-    missing = F.col("_left").isNull() | F.col("_right").isNull()
-    return joined.filter(missing | ~same).select(
+    differing = _sent(differing_rows(left, right))
+
+    def fetched(df: DataFrame, place: str) -> DataFrame:
+        wanted = differing.select(IDX, place)
+        row = F.struct(F.lit(1), *[col(c).alias(f"c{i}") for i, c in enumerate(names)])
+        return df.select(F.col(POS).alias(place), row.alias(f"{place}_row")).join(wanted, place).drop(place)
+
+    both = fetched(left, "_left").join(fetched(right, "_right"), IDX, "full_outer")
+    cell = lambda side, i: F.col(f"{side}_row").getField(f"c{i}")
+    differs = [F.when(~cell("_left", i).eqNullSafe(cell("_right", i)), F.lit(c)) for i, c in enumerate(names)]
+    missing = F.col("_left_row").isNull() | F.col("_right_row").isNull()
+    return both.select(
         F.col(IDX).alias("row_index"),
-        F.when(F.col("_left").isNull(), "left")
-        .when(F.col("_right").isNull(), "right")
-        .alias("missing_side"),
+        F.when(F.col("_left_row").isNull(), "left").when(F.col("_right_row").isNull(), "right").alias("missing_side"),
         F.when(missing, F.array().cast("array<string>"))
-        .otherwise(F.array_compact(F.array(*differs)))
+        .otherwise(F.array_compact(F.array(*differs).cast("array<string>")))
         .alias("columns"),
     )
 

@@ -13,13 +13,12 @@ from tabshift.operators.checks import (
     difference_issue,
     issue_frame,
     metadata_issues,
-    null_issues,
     source_column_issues,
     structure_issues,
     target_column_issues,
-    unique_issues,
+    value_issues,
 )
-from tabshift.operators.compare import positional_diff
+from tabshift.operators.compare import differing_rows
 from tabshift.operators.order import dense_positions
 from tabshift.plans.build import derive_dataset
 from tabshift.plans.migrate import migrate
@@ -47,10 +46,7 @@ def check_schemas(package: Package) -> DataFrame:
         truth, schema = package.ground_truth, package.target_schema
         issues += target_column_issues(truth, schema, "ground_truth")
         # an empty truth table is reported by the structure check
-        frames.append(null_issues(truth, schema, "ground_truth").filter("code <> 'empty_csv'"))
-        repeated = unique_issues(truth, schema, "ground_truth")
-        if repeated is not None:
-            frames.append(repeated)
+        frames.append(value_issues(truth, schema, "ground_truth").filter("code <> 'empty_csv'"))
     if package.source_schema is not None:
         issues += source_column_issues(package.clean_dataset, package.source_schema, "clean_dataset")
     return _merge([issue_frame(spark, issues), *frames])
@@ -74,7 +70,7 @@ def compare_rederived(expected: DataFrame, stored: DataFrame, code: str, table:
     if data_columns(expected) != data_columns(stored):
         spark = stored.sparkSession
         return issue_frame(spark, [("error", code, table, f"{message} (columns differ)", None)])
-    return difference_issue(positional_diff(expected, stored), code, table, message)
+    return difference_issue(differing_rows(expected, stored), code, table, message)
 
 
 def check_reproducible(package: Package) -> DataFrame:

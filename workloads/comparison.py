@@ -11,8 +11,7 @@ from tabshift.functions.names import POS, col
 from tabshift.operators.checks import (
     duplicated_values,
     null_counts,
-    null_issues,
-    unique_issues,
+    value_issues,
 )
 from tabshift.operators.compare import multiset_overlap, positional_diff, row_multiset
 from tabshift.operators.filters import apply_filtering
@@ -519,9 +518,7 @@ def validate_values(spark, sf_dir):
     """Missing values in required columns, repeated values in unique ones."""
     lines = lineitems(spark, sf_dir).select(*[col(c) for c in _LINE_NAMES])
     damaged = apply_noise(lines, _LINE_NOISE, row_key=_LINE_NAMES)
-    issues = null_issues(damaged, _LINE_SCHEMA, "lines").unionByName(
-        unique_issues(damaged, _LINE_SCHEMA, "lines")
-    )
+    issues = value_issues(damaged, _LINE_SCHEMA, "lines")
     return issues.select("severity", "code", "message", "rows")
 
 
