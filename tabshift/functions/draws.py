@@ -51,3 +51,26 @@ def uniform(hexes: Column) -> Column:
     """Double in [0, 1) with 52 random bits."""
     number = F.conv(F.substring(hexes, 1, _UNIFORM_DIGITS), 16, 10).cast("bigint")
     return number / F.lit(float(1 << 52))
+
+
+_LIMB = 1 << 32
+
+
+def wide_uniform(hexes: Column, n: int) -> Column:
+    """Integer in 0 .. n-1 for n up to 10**38, as decimal(38,0): the high half of the product
+    of all 128 random bits with n, in limbs of 32 bits, so that every step stays exact."""
+    wide = "decimal(38,0)"
+    drawn = [F.conv(F.substring(hexes, 25 - 8 * k, 8), 16, 10).cast(wide) for k in range(4)]
+    factor = [n >> 32 * k & _LIMB - 1 for k in range(4)]
+
+    def column(k: int) -> Column:
+        terms = [drawn[i] * F.lit(factor[k - i]).cast(wide) for i in range(4) if 0 <= k - i < 4]
+        return sum(terms[1:], terms[0]).cast(wide)
+
+    carry = F.lit(0).cast("bigint")
+    for k in range(4):
+        carry = F.call_function("div", column(k) + carry.cast(wide), F.lit(_LIMB).cast(wide))
+    high = column(6)
+    for k in (5, 4):
+        high = (high * F.lit(_LIMB).cast(wide)).cast(wide) + column(k)
+    return (high + carry.cast(wide)).cast(wide)

@@ -58,29 +58,6 @@ def _issue_struct(severity: str, code: str, subject: Column, message: Column, ro
     )
 
 
-def null_issues(df: DataFrame, schema: Schema, table: str) -> DataFrame:
-    """Missing values in required columns and a table without rows (VAL-5,
-    VAL-8), all in one pass."""
-    required = [a.name for a in schema.attributes if a.required and a.name in df.columns]
-    counts = df.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.count_if(col(c).isNull()).alias(c) for c in required],
-    )
-    found = [
-        _issue_struct(
-            "error", "required_value_missing", F.lit(table),
-            F.lit(f"required column '{c}' has missing values"), col(c),
-        )
-        for c in required
-    ]
-    empty = F.when(
-        F.col("_rows") == 0,
-        _issue_struct("error", "empty_csv", F.lit(table), F.lit("table has no rows"), F.lit(None)),
-    )
-    nulls = [F.when(col(c) > 0, f) for c, f in zip(required, found)]
-    return counts.select(F.inline(F.array_compact(F.array(empty, *nulls))))
-
-
 def duplicated_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, n) of values that occur more than once; two nulls are
     duplicates as well (AGG-8). All columns share one shuffle, and copies are
@@ -96,24 +73,6 @@ def duplicated_values(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def unique_issues(df: DataFrame, schema: Schema, table: str) -> DataFrame | None:
-    """Repeated values in unique columns (VAL-6)."""
-    unique = [a.name for a in schema.attributes if a.unique and a.name in df.columns]
-    if not unique:
-        return None
-    per_column = duplicated_values(df, unique).groupBy("column").agg(F.sum("n").alias("rows"))
-    message = F.format_string("unique column '%s' has repeated values", "column")
-    return per_column.select(
-        F.inline(
-            F.array(
-                _issue_struct(
-                    "error", "uniqueness_violation", F.lit(table), message, F.col("rows")
-                )
-            )
-        )
-    )
-
-
 def value_issues(df: DataFrame, schema: Schema, table: str) -> DataFrame:
     """Missing and repeated values and a table without rows (VAL-5, VAL-6, VAL-8) in one pass:
     every row gives its values of unique columns, its missing required cells and itself to

@@ -24,8 +24,12 @@ def run_entries(results: DataFrame) -> DataFrame:
     in the metadata are left out, also texts that look like numbers."""
     none = F.lit(None)
     metadata = F.col("metadata")
+    keys = None
     if dict(results.dtypes)["metadata"] == "string":
-        metadata = F.parse_json("metadata")
+        # a variant sorts its keys; the text has them in the order of the document
+        keys, metadata = F.json_object_keys("metadata"), F.parse_json("metadata")
+    values = metadata.cast("map<string,variant>")
+    results = results.withColumns({"_values": values, "_keys": F.map_keys(values) if keys is None else keys})
     runs = F.array(
         _entry("run", none, F.col("duration_seconds"), F.col("passed"), F.col("error").isNull())
     )
@@ -41,7 +45,7 @@ def run_entries(results: DataFrame) -> DataFrame:
         ),
     )
     numeric = F.filter(
-        F.map_entries(metadata.cast("map<string,variant>")),
+        F.transform("_keys", lambda k: F.struct(k.alias("key"), F.try_element_at("_values", k).alias("value"))),
         lambda e: F.schema_of_variant(e["value"]).rlike(_NUMERIC),
     )
     values = F.transform(

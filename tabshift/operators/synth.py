@@ -2,28 +2,34 @@
 
 Strategies are fitted together in one aggregation over the source (plus one
 grouped count for the categorical columns); only ranges and short label lists
-reach the driver. Drawing is a single projection.
+reach the driver. Drawing is a single projection; long label lists are a relation
+that it is joined with.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from decimal import Decimal
+from decimal import Context, Decimal
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabshift.functions.cells import is_number
 from tabshift.functions.dates import parse_date, render_date
-from tabshift.functions.draws import uniform
+from tabshift.functions.draws import uniform, wide_uniform
 from tabshift.functions.names import IDX, POS, col, data_columns, has_position
 from tabshift.functions.words import PROVIDERS, Draws
 from tabshift.operators.mappings import numbered
-from tabshift.operators.order import with_index
+from tabshift.operators.order import first_seen, with_index
+from tabshift.session import cut_lineage
 from tabshift.specs import SpecError, SynthesisConfiguration, SynthesizedColumn
 
+# labels of one CASE expression at most
+CASE_LABELS = 64
+# labels of a guide table that is sent to every task
+SENT_LABELS = 100_000
 DEFAULT_MAX_CARDINALITY = 20
 
 
@@ -74,26 +80,58 @@ class Faker(Strategy):
         return provider(context.draws)
 
 
+#: Decimal places at which wide numbers are fitted; together they hold every number whose
+#: digits before the point and places of the column are 38 at most, but for a few between.
+WIDE_PLACES = (0, 8, 28)
+#: Points of a grid that 52 random bits draw evenly.
+NARROW_GRID = 1 << 52
+
+
 class NumericDistribution(Strategy):
     """Uniform over the grid low .. high with the source's precision."""
 
     def fit(self, config):
         cell = col(config.column)
-        number = F.when(is_number(cell), F.trim(cell).try_cast("decimal(38,18)"))
-        places = F.length(F.regexp_extract(cell, r"^-?\d+\.(\d+)$", 1))
-        return {
-            "low": F.min(number),
-            "high": F.max(number),
-            "places": F.max(places),
-            "bad": F.count_if(cell.isNotNull() & number.isNull()),
+        text = F.when(is_number(cell), F.trim(cell))
+        at = lambda places: text.try_cast(f"decimal(38,{places})")
+        found = {
+            "low": F.min(at(18)),
+            "high": F.max(at(18)),
+            "places": F.max(F.length(F.regexp_extract(cell, r"^-?\d+\.(\d+)$", 1))),
+            "bad": F.count_if(cell.isNotNull() & text.isNull()),
+            "wide": F.count_if(text.isNotNull() & at(18).isNull()),
         }
+        for p in WIDE_PLACES:
+            found |= {f"low{p}": F.min(at(p)), f"high{p}": F.max(at(p)), f"wide{p}": F.count_if(text.isNotNull() & at(p).isNull())}
+        return found
 
     def draw(self, config, fitted, context):
-        _reject_bad(config, fitted, "numbers")
         places = fitted["places"] or 0
-        unit = Decimal(10) ** places
-        low, high = (int(Decimal(fitted[k]) * unit) for k in ("low", "high"))
-        return grid_text(uniform(context.draws.hexes()), low, high, places)
+        fits = ["", *map(str, WIDE_PLACES)]
+        fit = next((f for f in fits if places <= int(f or 18) and not fitted[f"wide{f}"]), None)
+        if fit is None and not fitted["bad"]:
+            raise SynthesisError(f"column '{config.column}': its numbers need more than 38 digits")
+        _reject_bad(config, fitted | {"low": fitted[f"low{fit or ''}"]}, "numbers")
+        low, high = (int(Decimal(fitted[f"{k}{fit}"]).scaleb(places, _WIDE)) for k in ("low", "high"))
+        hexes = context.draws.hexes()
+        if high - low < NARROW_GRID and max(abs(low), abs(high)) < 1 << 62:
+            return grid_text(uniform(hexes), low, high, places)
+        return wide_text(hexes, low, high, places)
+
+
+_WIDE = Context(prec=80)
+
+
+def wide_text(hexes: Column, low: int, high: int, places: int) -> Column:
+    """Like `grid_text`, over a grid beyond 52 bits."""
+    if high - low + 1 > 10**38:
+        raise SynthesisError("a grid of more than 10**38 numbers cannot be drawn from")
+    n = F.lit(Decimal(low)).cast("decimal(38,0)") + wide_uniform(hexes, high - low + 1)
+    digits = F.abs(n).cast("string")
+    if places:
+        padded = F.when(F.length(digits) > places, digits).otherwise(F.lpad(digits, places + 1, "0"))
+        digits = F.concat(F.substring(padded, F.lit(1), F.length(padded) - places), F.lit("."), F.right(padded, F.lit(places)))
+    return F.concat(F.when(n < 0, F.lit("-")).otherwise(F.lit("")), digits)
 
 
 def grid_text(u: Column, low: int, high: int, places: int) -> Column:
@@ -170,6 +208,42 @@ class CategoricalResample(Strategy):
         return last if chosen is None else chosen.otherwise(last)
 
 
+def is_large(config: SynthesizedColumn) -> bool:
+    """Whether a column's labels are a joined relation instead of branches of one CASE; said
+    by the spec, so that draws do not change with the data."""
+    return config.params.get("max_cardinality", DEFAULT_MAX_CARDINALITY) > CASE_LABELS
+
+
+def guide_table(df: DataFrame, config: SynthesizedColumn) -> tuple[DataFrame, int, int]:
+    """(_slot, _low, _high, _label) of the labels in first-seen order, laid end to end by
+    their counts and cut at as many even slots as there are labels; with the number of
+    labels and the total. A draw falls into one slot and there into one of few labels: two
+    rows a slot on average, whatever the frequencies."""
+    labels = cut_lineage(first_seen(df, config.column))
+    n, total = labels.agg(F.count("*"), F.sum("n")).first()
+    if n > config.params["max_cardinality"]:
+        raise SynthesisError(f"column '{config.column}' has more than max_cardinality={config.params['max_cardinality']} labels")
+    if not n:
+        raise SynthesisError(f"column '{config.column}' has no values to fit")
+    # at most max_cardinality rows
+    upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("first_pos").rowsBetween(Window.unboundedPreceding, 0))
+    ranges = labels.select("label", (upto - F.col("n")).alias("_low"), upto.alias("_high"))
+    slot = lambda c: F.call_function("div", c * n, F.lit(total))
+    slots = F.explode(F.sequence(slot(F.col("_low")), slot(F.col("_high") - 1)))
+    return cut_lineage(ranges.select(slots.alias("_slot"), "_low", "_high", F.col("label").alias("_label"))), n, total
+
+
+def _joined_labels(source: DataFrame, df: DataFrame, name: str, config: SynthesizedColumn, seed: int) -> DataFrame:
+    """`source` with `name` replaced by labels of the guide table."""
+    table, n, total = guide_table(df, config)
+    draws = Draws(seed, name, F.col(POS).cast("string"))
+    drawn = F.least(F.floor(uniform(draws.hexes()) * F.lit(float(total))).cast("bigint"), F.lit(total - 1))
+    rows = source.withColumn("_drawn", drawn).withColumn("_slot", F.call_function("div", F.col("_drawn") * n, F.lit(total)))
+    table = F.broadcast(table) if n <= SENT_LABELS else table
+    found = rows.join(table, "_slot").filter((F.col("_low") <= F.col("_drawn")) & (F.col("_drawn") < F.col("_high")))
+    return found.select(*[F.col("_label").alias(c) if c == name else col(c) for c in source.columns])
+
+
 class Identity(Strategy):
     """Explicit opt-out: values pass through."""
 
@@ -244,7 +318,8 @@ def synthesize(
         row = df.agg(*[e.alias(f"f{i}") for i, e in enumerate(fits.values())]).first()
         for (name, key), value in zip(fits, row):
             fitted[name][key] = value
-    labels = _label_counts(df, [c for c, s in chosen.values() if s.needs_labels])
+    large = {n: c for n, (c, s) in chosen.items() if isinstance(s, CategoricalResample) and is_large(c)}
+    labels = _label_counts(df, [c for n, (c, s) in chosen.items() if s.needs_labels and n not in large])
     for name, found in labels.items():
         fitted[name]["labels"] = found
 
@@ -257,6 +332,9 @@ def synthesize(
     columns = []
     for name, (c, strategy) in chosen.items():
         draws = Draws(config.seed, name, F.col(POS).cast("string"))
-        value = strategy.draw(c, fitted[name], DrawContext(draws, config.locale))
+        value = F.lit(None).cast("string") if name in large else strategy.draw(c, fitted[name], DrawContext(draws, config.locale))
         columns.append(value.alias(name))
-    return source.select(*columns, POS)
+    made = source.select(*columns, POS)
+    for name, c in large.items():
+        made = _joined_labels(made, df, name, c, config.seed)
+    return made

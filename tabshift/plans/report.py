@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabshift.operators.summary import agent_sections, summarize
-from tabshift.sources.results import RESULT_FILE, read_results, write_report
+from tabshift.sources.results import RESULT_FILE, read_results, write_report, write_report_document
 
 
 def render_markdown(summary: DataFrame, generated_at: datetime | None = None) -> str:
@@ -23,9 +23,9 @@ def render_markdown(summary: DataFrame, generated_at: datetime | None = None) ->
     return "\n".join(lines + [r["section"] for r in sections])
 
 
-def report(spark: SparkSession, root: str, folder: str | None = None) -> str:
+def report(spark: SparkSession, root: str, folder: str | None = None, pattern: str = RESULT_FILE) -> str:
     """Read the log below `root`, aggregate it and write both forms (PIP-4)."""
-    results = read_results(spark, root)
+    results = read_results(spark, root, pattern)
     if results.isEmpty():
         raise FileNotFoundError(f"no {RESULT_FILE} below {root}")
     summary = summarize(results).persist()
@@ -33,6 +33,7 @@ def report(spark: SparkSession, root: str, folder: str | None = None) -> str:
         text = render_markdown(summary)
         if folder is not None:
             write_report(summary.orderBy("first").drop("first"), text, folder)
+            write_report_document(results, summary, folder)
     finally:
         summary.unpersist()
     return text

@@ -109,7 +109,7 @@ def _file_offsets(spark: SparkSession, path: str, bits: int) -> DataFrame:
     return files.select("file_path", F.coalesce(before, F.lit(0)).alias("_base"))
 
 
-def _positioned(spark: SparkSession, path: str, raw: DataFrame, names: list[str], *keep: str) -> DataFrame:
+def positioned(spark: SparkSession, path: str, raw: DataFrame, names: list[str], *keep: str) -> DataFrame:
     """Position from (file, place of the split in the file, row in the split).
     The running row id alone follows the scheduling of splits, not the files."""
     bits = _block_bits(spark)
@@ -140,7 +140,7 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
     counts, and within such a group by a window. Lines on their own are records; of the others,
     the k-th and following up to the next line with an odd number of quotes are the k-th
     record that spans lines, whichever splits they are in."""
-    lines = _positioned(spark, path, spark.read.option("lineSep", "\n").text(path), ["value"], "_file")
+    lines = positioned(spark, path, spark.read.option("lineSep", "\n").text(path), ["value"], "_file")
     odd = (F.length("value") - F.length(F.translate("value", '"', ""))) % 2
     rows = lines.select("*", F.shiftright(POS, 16).alias("_g"), odd.cast("bigint").alias("_odd"))
     text = F.when(~F.col("value").isin("", "\r"), F.col(POS))
@@ -207,7 +207,7 @@ def read_table(
         placed = parsed.select("r.*", POS).filter(fits)
     else:
         raw = spark.read.schema(schema).options(header=True, encoding="UTF-8", multiLine=multi_line, enforceSchema=True, **options).csv(path)
-        placed = _positioned(spark, path, raw.filter(fits), plain)
+        placed = positioned(spark, path, raw.filter(fits), plain)
     return placed.select(*[na_to_null(F.col(c)).alias(n) for c, n in zip(plain, names)], POS)
 
 

@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +232,41 @@ def test_leaks_are_counted_per_column(table):
     synthetic = table(["a", "b", "c"], [["1", "z", None], ["1", "w", None], ["2", "v", None]])
     leaks = {r["column"]: r["leaked_values"] for r in value_leaks(source, synthetic, ["a", "b", "c"]).collect()}
     assert leaks == {"a": 2, "b": 0, "c": 0}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10**15, (1 << 64) + 1, 10**38])
+def test_wide_draws_are_the_high_half_of_a_product(spark, n):
+    import hashlib
+
+    from tabshift.functions.draws import wide_uniform
+
+    keys = [str(k) for k in range(40)]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    got = [int(r[0]) for r in df.select(wide_uniform(F.md5("k"), n)).collect()]
+    assert got == [int(hashlib.md5(k.encode()).hexdigest(), 16) * n >> 128 for k in keys]
+
+
+def test_wide_numbers_stay_in_range_with_their_precision(table, rows):
+    cells = [["123456789012345678901234567890", "-0.000000000000000000000001"], ["999999999999999999999999999999", "2.5"], [None, None]] * 20
+    config = synthesis(3, a={"strategy": "numeric_distribution"}, b={"strategy": "numeric_distribution"})
+    made = rows(synthesize(table(["a", "b"], cells), config))
+    assert len(made) == 60 and len({a for a, _ in made}) > 50
+    for a, b in made:
+        assert len(a) == 30 and "123456789012345678901234567890" <= a <= "9" * 30
+        assert len(b.partition(".")[2]) == 24 and -Decimal("0.000000000000000000000001") <= Decimal(b) <= Decimal("2.5")
+
+
+def test_numbers_of_too_many_digits_are_named(table):
+    config = synthesis(3, a={"strategy": "numeric_distribution"})
+    with pytest.raises(SynthesisError, match="more than 38 digits"):
+        synthesize(table(["a"], [["1" * 40]]), config)
+
+
+def test_many_labels_are_drawn_by_frequency(table, rows):
+    cells = [["hot"]] * 400 + [[f"l{k}"] for k in range(100)] + [[None]] * 20
+    config = synthesis(3, a={"strategy": "categorical_resample", "max_cardinality": 101})
+    made = [r[0] for r in rows(synthesize(table(["a"], cells), config))]
+    assert len(made) == 520 and set(made) <= {"hot", *(f"l{k}" for k in range(100))}
+    assert 0.7 < made.count("hot") / 520 < 0.9 and len(set(made)) > 40
+    with pytest.raises(SynthesisError, match="more than max_cardinality=100"):
+        synthesize(table(["a"], cells), synthesis(3, a={"strategy": "categorical_resample", "max_cardinality": 100}))

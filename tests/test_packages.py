@@ -1,6 +1,7 @@
 """Sources, sinks, packages, validation, reports and streams."""
 
 import json
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -523,3 +524,54 @@ def test_tables_are_written_in_order_without_a_sort_of_all(spark, table, rows, t
     assert [r[0] for r in rows(read_table(spark, str(tmp_path / "t")))] == want
     plan = placed_in_order(shuffled, 3)._jdf.queryExecution().toString()
     assert "rangepartitioning" not in plan
+
+
+def test_report_document_is_one_json_document(spark, tmp_path, monkeypatch):
+    """Part files put together by name; metadata keys stay in their order everywhere."""
+    import tabshift.sources.results as sink
+
+    monkeypatch.setattr(sink, "FILE_ROWS", 2)
+    log = spark.createDataFrame(
+        [(k, f"agent {k % 2}", "T", [("m", 0.5)], True, None, None, 1.0, '{"z": 1,\n "a": "2", "m": %d}' % k) for k in range(5)],
+        f"{POS} bigint, agent_name string, task_id string, metrics array<struct<name: string, score: double>>, passed boolean, "
+        "error string, reproducibility struct<name: string, score: double>, duration_seconds double, metadata string",
+    )
+    made = summarize(log)
+    sink.write_report_document(log, made, str(tmp_path), datetime(2024, 1, 2, tzinfo=timezone.utc))
+    parts = sorted((tmp_path / "report_document").glob("part-*"))
+    document = json.loads("".join(p.read_text() for p in parts))
+    assert document["generated_at"].startswith("2024-01-02")
+    assert [r["metadata"]["m"] for r in document["results"]] == [0, 1, 2, 3, 4]
+    assert [list(r["metadata"]) for r in document["results"]] == [["z", "a", "m"]] * 5
+    assert [s["agent_name"] for s in document["summaries"]] == ["agent 0", "agent 1"]
+    assert list(document["summaries"][0]["average_metadata"]) == ["z", "m"]
+    write_results(log, str(tmp_path / "log"))
+    text = "".join(p.read_text() for p in (tmp_path / "log").glob("part-*"))
+    assert len(text.splitlines()) == 5 and all(list(json.loads(x)["metadata"]) == ["z", "a", "m"] for x in text.splitlines())
+
+
+def test_value_issues_in_one_pass(table):
+    from tabshift.operators.checks import value_issues
+
+    rules = schema("S", "k", "v", required=("k", "v"), unique=("k",))
+    found = lambda rows_: sorted((r["code"], r["message"], r["rows"]) for r in value_issues(table(["k", "v"], rows_), rules, "t").collect())
+    assert found([["1", "a"], ["2", "b"]]) == []
+    assert found([]) == [("empty_csv", "table has no rows", None)]
+    assert found([[None, "a"], [None, None], ["1", "x"], ["1", "y"], ["1", None]]) == [
+        ("required_value_missing", "required column 'k' has missing values", 2),
+        ("required_value_missing", "required column 'v' has missing values", 2),
+        ("uniqueness_violation", "unique column 'k' has repeated values", 5),
+    ]
+
+
+def test_only_differing_rows_are_found(table, rows, monkeypatch):
+    import tabshift.operators.compare as compare
+
+    monkeypatch.setattr(compare, "BLOCK_BITS", 2)
+    left = [[str(k), None if k == 3 else "x"] for k in range(40)]
+    right = [list(r) for r in left]
+    right[3][1], right[17][0] = "", "other"
+    found = compare.positional_diff(table(["a", "b"], left), table(["a", "b"], right + [["new", None]]))
+    assert sorted((r["row_index"], r["missing_side"], tuple(r["columns"])) for r in found.collect()) == [(3, None, ("b",)), (17, None, ("a",)), (40, "left", ())]
+    assert compare.positional_diff(table(["a"], []), table(["a"], [])).collect() == []
+    assert [r["missing_side"] for r in compare.positional_diff(table(["a"], [["1"]]), table(["a"], [])).collect()] == ["right"]

@@ -23,7 +23,7 @@ from tabshift.functions.words import (
 )
 from tabshift.operators.compare import value_leaks
 from tabshift.operators.noise import apply_noise
-from tabshift.operators.synth import synthesize
+from tabshift.operators.synth import STRATEGIES, Strategy, synthesize
 from tabshift.plans.build import build_package, derive_bundle
 from tabshift.session import shared_folder
 from tabshift.sources.bundle import SOURCE_TABLE
@@ -279,7 +279,92 @@ UNION ALL
 SELECT 'truth', {_row_text(['partner_no', 'name', 'country', 'remark'])}
 FROM ({supplier_truth_sql('clean')})"""
 
+# --- wide numbers, many labels, strategies of the caller's own ------------------
+
+
+def _wide_orders(spark, sf_dir):
+    """Codes of 30 digits, and numbers with 24 decimal places of both signs."""
+    number = F.lpad(col("order no."), 24, "0")
+    sign = F.when(F.col(POS) % 2 == 0, "-").otherwise("")
+    return orders(spark, sf_dir).select(
+        col("order no."),
+        F.concat(F.lit("123456"), F.reverse(number)).alias("code"),
+        F.concat(sign, F.lit("3."), F.reverse(number)).alias("ratio"),
+        POS,
+    )
+
+
+WIDE = {"strategy": "numeric_distribution"}
+synth_wide = _synth(_wide_orders, ["order no."], {"code": WIDE, "ratio": WIDE})
+
+
+def _wide_sql(column: str) -> str:
+    """The high half of 128 random bits times the size of the grid, in limbs of 32 bits."""
+    limb, text = 1 << 32, f"md5('{SEED}|{column}|0|' || CAST(pos AS VARCHAR))"
+    u = ", ".join(f"CAST(CAST('0x' || substr({text}, {25 - 8 * k}, 8) AS BIGINT) AS HUGEINT) AS u{k}" for k in range(4))
+    m = ", ".join(f"(high - low + 1) // CAST({limb**k} AS HUGEINT) % {limb} AS m{k}" for k in range(4))
+    p = ", ".join(" + ".join(f"u{i} * m{k - i}" for i in range(4) if 0 <= k - i < 4) + f" AS p{k}" for k in range(7))
+    carry = "0"
+    for k in range(4):
+        carry = f"(({carry} + p{k}) // {limb})"
+    return f"""
+SELECT pos, low + (p6 * {limb} + p5) * {limb} + p4 + {carry} AS n FROM (
+  SELECT pos, low, {p} FROM (SELECT pos, low, {u}, {m} FROM wide, (SELECT min({column}) AS low, max({column}) AS high FROM wide)))"""
+
+
+SYNTH_WIDE = f"""
+WITH wide AS MATERIALIZED (
+  SELECT "order no.", pos, CAST('123456' || r AS HUGEINT) AS code, CAST(CASE WHEN pos % 2 = 0 THEN '-' ELSE '' END || '3' || r AS HUGEINT) AS ratio
+  FROM (SELECT *, reverse(lpad("order no.", 24, '0')) AS r FROM ({ORDERS}))
+)
+SELECT "order no.", CAST(c.n AS VARCHAR) AS code,
+  CASE WHEN r.n < 0 THEN '-' ELSE '' END || regexp_replace(lpad(CAST(abs(r.n) AS VARCHAR), CAST(greatest(25, length(CAST(abs(r.n) AS VARCHAR))) AS INTEGER), '0'), '(.{{24}})$', '.\\1') AS ratio
+FROM wide JOIN ({_wide_sql('code')}) c USING (pos) JOIN ({_wide_sql('ratio')}) r USING (pos)"""
+
+
+def _labelled_orders(spark, sf_dir):
+    """Some ten thousand labels, a few of them frequent."""
+    n = F.col(POS) % 10_007
+    label = F.concat(F.lit("L"), F.when(F.col(POS) % 5 == 0, n % 3).otherwise(n).cast("string"))
+    return orders(spark, sf_dir).select(col("order no."), label.alias("label"), POS)
+
+
+synth_category_large = _synth(
+    _labelled_orders, ["order no."], {"label": {"strategy": "categorical_resample", "max_cardinality": 20_000}}
+)
+SYNTH_CATEGORY_LARGE = f"""
+WITH src AS (SELECT "order no.", pos, 'L' || CASE WHEN pos % 5 = 0 THEN pos % 10007 % 3 ELSE pos % 10007 END AS label FROM ({ORDERS})),
+counts AS (SELECT label, count(*) AS n, min(pos) AS first FROM src GROUP BY 1),
+ranges AS (SELECT label, sum(n) OVER (ORDER BY first) - n AS low, sum(n) OVER (ORDER BY first) AS high FROM counts),
+drawn AS (SELECT "order no.", least(CAST(floor({u_sql(SEED, 'label')} * CAST(total AS DOUBLE)) AS BIGINT), total - 1) AS d
+  FROM src, (SELECT CAST(sum(n) AS BIGINT) AS total FROM counts))
+SELECT "order no.", label FROM drawn JOIN ranges ON d >= low AND d < high"""
+
+
+def registry_synthesis(spark, sf_dir):
+    """A strategy of the caller's own: numbers are rounded to the fitted maximum's half."""
+
+    class Half(Strategy):
+        def fit(self, config):
+            return {"high": F.max(col(config.column).cast("decimal(12,2)"))}
+
+        def draw(self, config, fitted, context):
+            above = col(config.column).cast("decimal(12,2)") * 2 > F.lit(fitted["high"])
+            return F.when(above, F.lit("upper")).otherwise(F.lit("lower"))
+
+    df = orders(spark, sf_dir).select(col("order no."), "total", POS)
+    config = synthesis(SEED, **{"order no.": IDENTITY, "total": {"strategy": "half"}})
+    return synthesize(df, config, {**STRATEGIES, "half": Half()}).drop(POS)
+
+
+REGISTRY_SYNTHESIS = f"""
+SELECT "order no.", CASE WHEN CAST(total AS DECIMAL(12,2)) * 2 > (SELECT max(CAST(total AS DECIMAL(12,2))) FROM ({ORDERS})) THEN 'upper' ELSE 'lower' END AS total
+FROM ({ORDERS})"""
+
 QUERIES = {
+    "synth_wide": (synth_wide, SYNTH_WIDE),
+    "synth_category_large": (synth_category_large, SYNTH_CATEGORY_LARGE),
+    "registry_synthesis": (registry_synthesis, REGISTRY_SYNTHESIS),
     "synth_numeric": (
         _synth(
             customers,

@@ -6,16 +6,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabshift.functions.names import POS, col
+from tabshift.operators.checks import issue_frame, target_column_issues, value_issues
+from tabshift.operators.compare import value_leaks
 from tabshift.operators.filters import apply_filtering
-from tabshift.operators.order import with_index
 from tabshift.operators.mappings import HANDLERS, Mapped
+from tabshift.operators.metrics import METRICS, Scoring
 from tabshift.operators.noise import apply_noise
+from tabshift.operators.order import with_index
+from tabshift.plans.build import build_package
 from tabshift.plans.migrate import migrate, migrate_with_quarantine
 from tabshift.plans.validate import completeness_issues
 from tabshift.session import shared_folder
-from tabshift.sources.bundle import synthesis_spec
+from tabshift.sources.bundle import SOURCE_TABLE, required_table
 from tabshift.sources.csv import read_table, write_table
-from workloads.specs import ORDER_SCHEMA, ORDER_TASK, filtering, noise, schema, task
+from workloads.specs import ORDER_SCHEMA, ORDER_TASK, filtering, noise, noise_sql, order_truth_sql, schema, task
 from workloads.specs import rule as mapping_rule
 from workloads.tables import CUSTOMERS, ORDERS, SUPPLIERS, customers, orders, suppliers
 
@@ -111,30 +115,116 @@ def registry_noise(spark, sf_dir):
     return apply_noise(df, config, models={"blank": blank}).drop(POS)
 
 
+_SUPPLIER_SCHEMA = schema("SUPPLIERS", "supplier no", "name 1", "country code", "balance", required=("supplier no", "balance"), unique=("supplier no", "country code"))
+_SUPPLIER_NOISE = noise(17, ["name 1"], ("missing_value", 0.02), ("duplicate", 0.03))
+_SUPPLIER_COLUMNS = ["supplier no", "name 1", "country code", "balance"]
+
+
 def validate_missing_files(spark, sf_dir):
-    """A package folder that holds its source table alone: every absent file is named."""
+    """A package folder that holds its source table alone: every absent file is named, and
+    what is wrong with the rows that are there."""
+    root = shared_folder(spark, "package")
+    write_table(apply_noise(suppliers(spark, sf_dir), _SUPPLIER_NOISE), f"{root}/source_data/source_data.csv")
+    absent = issue_frame(spark, completeness_issues(spark, root))
+    found = value_issues(read_table(spark, f"{root}/source_data/source_data.csv"), _SUPPLIER_SCHEMA, "source")
+    return absent.unionByName(found).select("severity", "code", "subject", "message", "rows")
+
+
+VALIDATE_MISSING_FILES = f"""
+WITH d AS MATERIALIZED ({noise_sql(f'({SUPPLIERS})', _SUPPLIER_COLUMNS, _SUPPLIER_NOISE)})
+SELECT 'error' AS severity, 'missing_file' AS code, 'required file' AS subject, 'required file is missing: ' || f AS message, CAST(NULL AS BIGINT) AS rows
+FROM (VALUES ('scenario.yaml'), ('task.yaml'), ('metadata.yaml')) v(f)
+UNION ALL SELECT * FROM (
+  SELECT 'error', 'required_value_missing', 'source', 'required column ''supplier no'' has missing values', count(*) AS n FROM d WHERE "supplier no" IS NULL
+  UNION ALL SELECT 'error', 'required_value_missing', 'source', 'required column ''balance'' has missing values', count(*) FROM d WHERE balance IS NULL
+  UNION ALL SELECT 'error', 'uniqueness_violation', 'source', 'unique column ''supplier no'' has repeated values', sum(n)::BIGINT
+    FROM (SELECT count(*) AS n FROM d GROUP BY "supplier no") WHERE n > 1
+  UNION ALL SELECT 'error', 'uniqueness_violation', 'source', 'unique column ''country code'' has repeated values', sum(n)::BIGINT
+    FROM (SELECT count(*) AS n FROM d GROUP BY "country code") WHERE n > 1) WHERE n > 0"""
+
+
+def validate_missing_column(spark, sf_dir):
+    """A stored table without a required column, with one too many and out of order, and the
+    rows that each fault concerns."""
+    required = next(a.name for a in ORDER_SCHEMA.attributes if a.required)
+    stored = migrate(orders(spark, sf_dir), ORDER_TASK, ORDER_SCHEMA).drop(required).withColumn("extra", F.lit("x"))
+    names = [c for c in stored.columns if c != POS]
+    stored = stored.select(*reversed(names), POS)
+    found = issue_frame(spark, target_column_issues(stored, ORDER_SCHEMA, "ground_truth")).drop("rows")
+    return found.crossJoin(stored.agg(F.count("*").alias("rows"))).select("severity", "code", "subject", "rows")  # one row
+
+
+VALIDATE_MISSING_COLUMN = f"""
+SELECT 'error' AS severity, code, 'ground_truth' AS subject, (SELECT count(*) FROM ({order_truth_sql(f'({ORDERS})')})) AS rows
+FROM (VALUES ('unexpected_column'), ('missing_required_column'), ('column_order_mismatch')) v(code)"""
+
+
+def validate_structure(spark, sf_dir):
+    """Tables of each segment, one of which has no rows, and how often a nation repeats."""
+    df = customers(spark, sf_dir)
+    parts = schema("PART", "cust no", "nation", required=("cust no",), unique=("cust no", "nation"))
+    found = None
+    for segment in ("BUILDING", "MACHINERY", "NO SUCH SEGMENT"):
+        one = value_issues(df.filter(F.col("segment") == segment), parts, segment)
+        found = one if found is None else found.unionByName(one)
+    return found.select("severity", "code", "subject", "rows")
+
+
+VALIDATE_STRUCTURE = f"""
+SELECT 'error' AS severity, 'uniqueness_violation' AS code, segment AS subject, CAST(sum(n) AS BIGINT) AS rows FROM (
+  SELECT segment, nation, count(*) AS n FROM ({CUSTOMERS}) WHERE segment IN ('BUILDING', 'MACHINERY') GROUP BY 1, 2) WHERE n > 1 GROUP BY 3
+UNION ALL SELECT 'error', 'empty_csv', 'NO SUCH SEGMENT', NULL"""
+
+
+def target_example_contract(spark, sf_dir):
+    """Without schemas, an example table says which columns the result has, and in which order."""
     root = shared_folder(spark, "package")
-    write_table(suppliers(spark, sf_dir), f"{root}/source_data/source_data.csv")
-    issues = completeness_issues(spark, root)
-    return spark.createDataFrame([i[:4] for i in issues], "severity string, code string, subject string, message string")
+    example = customers(spark, sf_dir).select("segment", col("cust no"), F.upper("nation").alias("nation"), POS).filter(F.col(POS) <= 3)
+    write_table(example, f"{root}/example.csv")
+    write_table(customers(spark, sf_dir), f"{root}/data.csv")
+    contract = [c for c in required_table(spark, f"{root}/example.csv").columns if c != POS]
+    return required_table(spark, f"{root}/data.csv").select(*[col(c) for c in contract])
+
+
+def registry_metric(spark, sf_dir):
+    """A metric of the caller's own beside a built-in one: the share of longer names."""
+    truth = customers(spark, sf_dir).select(col("cust.name").alias("name"), POS)
+    output = truth.withColumn("name", F.when(F.col(POS) % 3 == 0, F.lit("short")).otherwise(F.col("name")))
 
+    def longer(s):
+        share = F.avg((F.length("name") > 5).cast("double"))
+        return s.output.agg(share.alias("score")).select(F.lit("longer").alias("name"), "score", F.create_map().cast("map<string,string>").alias("details"))
 
-VALIDATE_MISSING_FILES = """
-SELECT 'error' AS severity, 'missing_file' AS code, 'required file' AS subject, 'required file is missing: ' || f AS message
-FROM (VALUES ('scenario.yaml'), ('task.yaml'), ('metadata.yaml')) v(f)"""
+    s = Scoring(output=output, truth=truth)
+    both = {"longer": longer, "row_accuracy": METRICS["row_accuracy"]}
+    parts = [metric(s).select("name", F.round("score", 6).alias("score")) for metric in both.values()]
+    return parts[0].unionAll(parts[1])
+
+
+REGISTRY_METRIC = f"""
+WITH o AS (SELECT "cust.name" AS name, CASE WHEN pos % 3 = 0 THEN 'short' ELSE "cust.name" END AS changed FROM ({CUSTOMERS}))
+SELECT 'longer' AS name, round(avg(CAST(length(changed) > 5 AS INTEGER)), 6) AS score FROM o
+UNION ALL SELECT 'row_accuracy', round(avg(CAST(name = changed AS INTEGER)), 6) FROM o"""
 
 
 def privacy_gate(spark, sf_dir):
-    """Without a synthesis spec a source folder is refused, whatever it holds."""
+    """Without a synthesis spec a source folder is refused; what would have leaked, by
+    column, had its table been published as it is."""
     root = shared_folder(spark, "package")
     table = suppliers(spark, sf_dir)
-    write_table(table, f"{root}/source_data/source_data.csv")
+    write_table(table, f"{root}/{SOURCE_TABLE}")
     try:
-        synthesis_spec(spark, root)
-        refused = False
+        build_package(spark, root)
+        refused = F.lit(False)
     except FileNotFoundError:
-        refused = True
-    return table.agg(F.count(F.lit(1)).alias("rows"), F.lit(refused).alias("refused"))
+        refused = F.lit(True)
+    written = read_table(spark, f"{root}/{SOURCE_TABLE}")
+    return value_leaks(table, written, _SUPPLIER_COLUMNS).select("column", "leaked_values", refused.alias("refused"))
+
+
+PRIVACY_GATE = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(DISTINCT "{c}") AS leaked_values, true AS refused FROM ({SUPPLIERS})""" for c in _SUPPLIER_COLUMNS
+)
 
 
 QUERIES = {
@@ -149,5 +239,9 @@ QUERIES = {
     ),
     "registry_noise": (registry_noise, f"""SELECT "cust no", '#' AS nation, segment FROM ({CUSTOMERS})"""),
     "validate_missing_files": (validate_missing_files, VALIDATE_MISSING_FILES),
-    "privacy_gate": (privacy_gate, f"SELECT count(*) AS rows, true AS refused FROM ({SUPPLIERS})"),
+    "validate_missing_column": (validate_missing_column, VALIDATE_MISSING_COLUMN),
+    "validate_structure": (validate_structure, VALIDATE_STRUCTURE),
+    "target_example_contract": (target_example_contract, f'SELECT segment, "cust no", nation FROM ({CUSTOMERS})'),
+    "registry_metric": (registry_metric, REGISTRY_METRIC),
+    "privacy_gate": (privacy_gate, PRIVACY_GATE),
 }
