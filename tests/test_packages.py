@@ -112,9 +112,9 @@ task_id: T1
 objective: migrate suppliers
 input: {source_dataset: data/dataset.csv, source_schema: schemas/source.yaml, target_schema: schemas/target.yaml}
 business_rules:
-  filtering: {field: last activity, operator: ">=", value: 2023-01-01, field_format: DD.MM.YYYY}
+  filtering: {field: seen on, operator: ">=", value: 2023-01-01, field_format: DD.MM.YYYY}
   mappings:
-    - {source_field: "no", target_field: bp_no, transformation: {type: sequential_number, start: 20, digits: 4}}
+    - {source_field: "no", target_field: account, transformation: {type: sequential_number, start: 20, digits: 4}}
     - {source_field: name, target_field: name, transformation: {type: copy}}
     - {source_field: country, target_field: country, transformation: {type: value_mapping, mapping: {deu: de, aut: at}}}
 output: {format: csv}
@@ -127,20 +127,20 @@ attributes:
   - {name: "no", type: string, required: true, unique: true}
   - {name: name, type: string, required: true}
   - {name: country, type: string, required: true}
-  - {name: last activity, type: date, required: false}
+  - {name: seen on, type: date, required: false}
 """
 TARGET_SCHEMA = """
 table: BP
 description: target
 attributes:
-  - {name: bp_no, type: string, required: true, unique: true}
+  - {name: account, type: string, required: true, unique: true}
   - {name: name, type: string, required: true}
   - {name: email, type: string, required: false}
   - {name: country, type: string, required: true}
 """
 NOISE = """
-seed: 42
-excluded_columns: ["no", last activity]
+seed: 61
+excluded_columns: ["no", seen on]
 noise_types:
   - {type: typo, probability: 0.3}
   - {type: duplicate, probability: 0.2}
@@ -152,7 +152,7 @@ columns:
   - {column: "no", strategy: unique_sequence, format: "{:05d}", start: 100}
   - {column: name, strategy: faker, provider: company}
   - {column: country, strategy: categorical_resample}
-  - {column: last activity, strategy: date_distribution, field_format: DD.MM.YYYY}
+  - {column: seen on, strategy: date_distribution, field_format: DD.MM.YYYY}
 """
 METADATA = """
 scenario_id: S1
@@ -163,7 +163,7 @@ created: today
 task_complexity: basic
 specification_completeness: explicit
 data_quality: noisy
-seed: 42
+seed: 61
 """
 SCENARIO = """
 scenario_id: S1
@@ -176,7 +176,7 @@ systems: {source: {name: a, description: a}, target: {name: b, description: b}}
 
 
 def lay_out(root):
-    lines = ["no,name,country,last activity"]
+    lines = ["no,name,country,seen on"]
     lines += [f"{i},Real Name {i},{'deu' if i % 3 else 'aut'},{i % 28 + 1:02d}.0{i % 9 + 1}.20{20 + i % 5}" for i in range(60)]
     put(root, "source_data/source_data.csv", "\n".join(lines) + "\n")
     for name, text in (
@@ -216,7 +216,7 @@ def test_build_gives_a_valid_package(spark, built, rows):
     assert package.dataset.count() > 60
     truth = rows(package.ground_truth)
     assert truth[0][0] == "0020" and truth[-1][0] == f"{20 + len(truth) - 1:04d}"
-    assert data_columns(package.ground_truth) == ["bp_no", "name", "country"]
+    assert data_columns(package.ground_truth) == ["account", "name", "country"]
     issues = validate(spark, str(root))
     assert issues.count() == 0 and is_valid(issues)
 
@@ -252,7 +252,7 @@ def test_underspecified_package(spark, built, tmp_path):
     root = copy_of(built, tmp_path)
     text = TASK.replace("source_schema: schemas/source.yaml, target_schema: schemas/target.yaml", "target_example: data/example.csv")
     put(root, "task.yaml", text)
-    put(root, "data/example.csv", "bp_no,name,country\n0001,X,de\n")
+    put(root, "data/example.csv", "account,name,country\n0001,X,de\n")
     package = load_package(spark, str(root))
     assert package.target_schema is None and package.target_example.count() == 1
     assert codes(spark, root) == []
@@ -266,7 +266,7 @@ TAMPERED = {
     "package_load_failed": lambda root: put(root, "metadata.yaml", METADATA.replace("basic", "hard")),
     "scenario_id_mismatch": lambda root: put(root, "scenario.yaml", SCENARIO.replace("S1", "S9")),
     "task_id_mismatch": lambda root: put(root, "metadata.yaml", METADATA.replace("T1", "T9")),
-    "seed_mismatch": lambda root: put(root, "metadata.yaml", METADATA.replace("seed: 42", "seed: 1")),
+    "seed_mismatch": lambda root: put(root, "metadata.yaml", METADATA.replace("seed: 61", "seed: 1")),
     "data_quality_mismatch": lambda root: put(root, "metadata.yaml", METADATA.replace("noisy", "clean")),
     "clean_dataset_schema_mismatch": lambda root: put(root, "schemas/source.yaml", SOURCE_SCHEMA.replace("country", "land")),
     "dataset_not_reproducible": lambda root: put(root, "noise_configuration.yaml", NOISE.replace("0.3", "0.4")),
@@ -292,7 +292,7 @@ def test_tampering_is_reported(spark, built, tmp_path, code):
 
 def test_tampered_truth(spark, built, rows, tmp_path, table):
     truth = rows(built[1].ground_truth)
-    names = ["bp_no", "name", "country"]
+    names = ["account", "name", "country"]
 
     def tampered(sub, columns, cells, checks=LIGHT):
         root = copy_of(built, tmp_path / sub)
@@ -304,13 +304,13 @@ def test_tampered_truth(spark, built, rows, tmp_path, table):
     repeated = [[truth[0][0], m, c] for _, m, c in truth]
     assert tampered("b", names, repeated) == {"uniqueness_violation"}
     turned = [[m, n, c] for n, m, c in truth]
-    assert tampered("c", ["name", "bp_no", "country"], turned) == {"column_order_mismatch"}
+    assert tampered("c", ["name", "account", "country"], turned) == {"column_order_mismatch"}
     wider = [[*r, "x"] for r in truth]
     assert tampered("d", [*names, "extra"], wider, None) == {
         "unexpected_column", "column_order_mismatch", "ground_truth_not_reproducible",
     }
     root = copy_of(built, tmp_path / "e")
-    put(root, "empty.csv", "bp_no,name,country\n")
+    put(root, "empty.csv", "account,name,country\n")
     import shutil
 
     shutil.rmtree(root / "ground_truth/ground_truth.csv")

@@ -166,7 +166,7 @@ def test_filtering_accuracy(two, truth, output, expected):
 
 def test_field_mapping_accuracy(two, table):
     truth = [["1", "x"]] * 2
-    assert value("field_mapping_accuracy", *two(truth, [["1", "nan nan"], ["2", "Nano Systems"]])) == 0.75
+    assert value("field_mapping_accuracy", *two(truth, [["1", "nan nan"], ["2", "Nanette 7"]])) == 0.75
     assert value("field_mapping_accuracy", *two(truth, [])) == 0.0
     assert value("field_mapping_accuracy", table(["b", "z"], [["x", "y"]]), table(["a", "b"], truth)) == 0.5
     details = METRICS["field_mapping_accuracy"](Scoring(*two(truth, truth))).first()["details"]
