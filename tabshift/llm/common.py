@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,9 +83,24 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def _give_back() -> None:
+    """Returns the memory that a task has freed: workers are kept for later tasks, and the
+    allocators would hold on to it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
     """mapInArrow; every frame of an operator goes through here."""
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def batch(names: list[str], *arrays) -> pa.RecordBatch:
