@@ -196,17 +196,20 @@ def document_sets(rows: DataFrame, size: int, percent: int, frequent: np.ndarray
 
 
 def light_edges(classes: DataFrame, most: int, percent: int) -> DataFrame:
-    """Edges between classes up to `most` shingles, by subsets in common."""
+    """Edges between classes up to `most` shingles, by subsets in common; they join all that link.
+
+    A subset's classes have two sizes at most. Each is paired with one of the smaller size: all
+    of those link with it, while two of the larger size may share too little for theirs."""
 
     def run(batches):
         for part in batches:
-            keys, nodes, sizes, same = [], [], [], []
+            keys, nodes, low, same = [], [], [], []
 
             def flush():
-                arrays = [pa.array(np.concatenate(x)) for x in ([k.view(np.int64) for k in keys], nodes, sizes, same)]
-                for x in (keys, nodes, sizes, same):
+                arrays = [pa.array(np.concatenate(x)) for x in ([k.view(np.int64) for k in keys], nodes, low, same)]
+                for x in (keys, nodes, low, same):
                     x.clear()
-                return pa.RecordBatch.from_arrays(arrays, ["key", "node", "n", "same"])
+                return pa.RecordBatch.from_arrays(arrays, ["key", "node", "low", "same"])
 
             for node, items in zip(column(part, "node").to_pylist(), column(part, "items"), strict=True):
                 h = mix(items.values.to_numpy().view(np.uint64))
@@ -219,7 +222,7 @@ def light_edges(classes: DataFrame, most: int, percent: int) -> DataFrame:
                     pair = mix(np.array([min(s, t) << 32 | max(s, t)], np.uint64))
                     keys.append(mix((total - h[left].sum(axis=1, dtype=np.uint64)) ^ pair))
                     nodes.append(np.full(len(left), node))
-                    sizes.append(np.full(len(left), s))
+                    low.append(np.full(len(left), s <= t))
                     same.append(np.full(len(left), s == t))
                 if len(keys) >= 2000:
                     yield flush()
@@ -227,17 +230,26 @@ def light_edges(classes: DataFrame, most: int, percent: int) -> DataFrame:
                 yield flush()
 
     small = classes.filter(F.col("n") <= most).select("node", "items")
-    keys = map_arrow(small, run, "key bigint, node bigint, n bigint, same boolean")
-    groups = (
-        keys.groupBy("key")
-        .agg(F.min("node").alias("b"), F.max("node").alias("last"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("same").alias("same"))
-        .filter("b < last and (same or lo < hi)")
-    )
-    found = keys.join(groups.select("key", "b"), "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    keys = map_arrow(small, run, "key bigint, node bigint, low boolean, same boolean")
     # a key is 64 bits of a subset: the sets themselves decide
     left, right = (small.select(F.col("node").alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
     both, sizes = F.size(F.array_intersect("items_a", "items_b")), F.size("items_a") + F.size("items_b")
-    return found.join(left, "a").join(right, "b").filter(100 * both >= percent * (sizes - both)).select("a", "b")
+    edges = None
+    while True:
+        ends = (F.min("node").alias("first"), F.max("node").alias("last"), F.max("same").alias("same"), F.min("low").alias("alike"))
+        groups = keys.groupBy("key").agg(F.min(F.when(F.col("low"), F.col("node"))).alias("b"), *ends)
+        groups = groups.filter("b is not null and first < last and (same or not alike)").select("key", "b")
+        near = keys.join(groups, "key").filter("node <> b")
+        found = near.select(F.col("node").alias("a"), "b").distinct()
+        judged = written(found.join(left, "a").join(right, "b").select("a", "b", (100 * both >= percent * (sizes - both)).alias("links")))
+        linked = judged.filter("links").select("a", "b")
+        edges = linked if edges is None else edges.union(linked)
+        apart = judged.filter("not links")
+        if apart.isEmpty():
+            return edges
+        # two subsets have one key: once more without the class that all were paired with
+        mixed = near.join(apart.select(F.col("a").alias("node"), "b"), ["node", "b"]).select("key").distinct()
+        keys = written(near.join(mixed, "key").select("key", "node", "low", "same"))
 
 
 # ---------------------------------------------------------------- heavy
@@ -352,7 +364,7 @@ def jaccard_components(
     reps = members.join(stands, "node", "left_semi").select("node", F.col("n_shingles").alias("n"), "sketch", "items")
     histogram = {r["n"]: r["c"] for r in classes.groupBy("n").agg(F.count("*").alias("c")).collect()}
     most = boundary(histogram, percent)
-    edges = written(light_edges(reps, most, percent))
+    edges = light_edges(reps, most, percent)
     lists = written(postings(reps, partners(most + 1, percent)[0], percent))
     sketches = reps.select("node", "n", "sketch")
     stars = written(verified(written(star_pairs(lists, sketches, percent)), members, rows, size, percent))

@@ -1,6 +1,7 @@
 import random
-from itertools import combinations
+from itertools import combinations, permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,22 @@ def test_hot_group_makes_no_pairs(spark, monkeypatch):
     got = J.jaccard_components(documents(spark, docs))
     assert got.select(F.countDistinct("component_id")).first()[0] == 1
     assert sizes[0] <= 2 * 120 and sizes[1] == 0
+
+
+def test_a_small_set_joins_two_larger_ones_in_any_order(spark):
+    # ten shingles, and twice one more: the larger sets share too little for a link of their own
+    base = " ".join(f"w{k}" for k in range(12))
+    texts = [f"{base} y", f"{base} z", base]
+    for order in permutations(texts):
+        docs = list(enumerate(order))
+        got = J.jaccard_components(documents(spark, docs).coalesce(1))
+        assert rows_of(got, "doc_id", "n_shingles", "component_id") == brute(docs)
+        assert {r["component_id"] for r in got.collect()} == {0}
+
+
+def test_clashing_keys_lose_no_link(spark, monkeypatch):
+    texts = [" ".join(f"{g}{k}" for k in range(12 + n)) + end for g in "abcd" for n, end in ((0, " y"), (0, " z"), (0, ""), (1, ""))]
+    docs = list(enumerate(texts))
+    monkeypatch.setattr(J, "boundary", lambda histogram, percent: 40)
+    monkeypatch.setattr(J, "mix", lambda h: h & np.uint64(0))
+    assert rows_of(J.jaccard_components(documents(spark, docs)), "doc_id", "n_shingles", "component_id") == brute(docs)
