@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Places of an entry in its run, and a number below all of its run's.
+_PLACES = "2147483648BD"
+_NO_NUMBER = "-9223372036854775809BD"
 _NUMERIC = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
 
@@ -73,6 +77,36 @@ def _grouped(results: DataFrame, *more: Column) -> DataFrame:
     )
 
 
+def _with_firsts(results: DataFrame) -> DataFrame:
+    """Aggregates per agent, kind and key, and `first`, their least order and place.
+
+    A struct's minimum would sort all entries of a task. A number and a place are one decimal,
+    which is kept in a hash table; what goes before the number, the file and its split, is
+    grouped by at first."""
+    entries = run_entries(results)
+    kind = entries.schema["order"].dataType
+    before = kind.names[:-1] if isinstance(kind, T.StructType) else []
+    number = F.col("order")[kind.names[-1]] if before else F.col("order")
+    part = F.struct(*[F.col("order")[c].alias(c) for c in before]) if before else F.lit(0)
+    # null comes first, below all numbers
+    whole = F.coalesce(number.cast("decimal(20,0)"), F.expr(_NO_NUMBER)) * F.expr(_PLACES) + F.col("place")
+    keys = ["agent_name", "kind", "key"]
+    parts = entries.groupBy(*keys, part.alias("_part")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.count("value").alias("values"),
+        F.sum("passed").alias("passed"), F.sum("ok").alias("ok"), F.min(whole).alias("_whole"),
+    )
+    least = F.min(F.struct("_part", "_whole"))
+    found = parts.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("values")).alias("mean"),
+        F.sum("passed").alias("passed"), F.sum("ok").alias("ok"), least.alias("_least"),
+    )
+    place = F.pmod(F.col("_least._whole"), F.expr(_PLACES))
+    full = F.col("_least._whole") - place
+    number = F.when(full > F.expr(_NO_NUMBER) * F.expr(_PLACES), F.call_function("div", full, F.expr(_PLACES)))
+    order = F.struct(*[F.col("_least._part")[c].alias(c) for c in before], number.alias(kind.names[-1])) if before else number.cast(kind)
+    return found.withColumn("first", F.struct(order.alias("order"), place.cast("int").alias("place"))).drop("_least")
+
+
 def metric_means(results: DataFrame) -> DataFrame:
     """Mean score per agent and metric, over the runs that have it (AGG-2)."""
     return (
@@ -99,12 +133,7 @@ def summarize(results: DataFrame) -> DataFrame:
     is_run = F.col("kind") == "run"
     only = lambda c: F.max(F.when(is_run, F.col(c)))
     share = lambda c: F.col(c).cast("double") / F.col("total_tasks").cast("double")
-    entries = _grouped(
-        results,
-        F.sum("passed").alias("passed"),
-        F.sum("ok").alias("ok"),
-        F.min(F.struct("order", "place")).alias("first"),
-    )
+    entries = _with_firsts(results)
     return (
         entries.groupBy("agent_name")
         .agg(

@@ -575,3 +575,31 @@ def test_only_differing_rows_are_found(table, rows, monkeypatch):
     assert sorted((r["row_index"], r["missing_side"], tuple(r["columns"])) for r in found.collect()) == [(3, None, ("b",)), (17, None, ("a",)), (40, "left", ())]
     assert compare.positional_diff(table(["a"], []), table(["a"], [])).collect() == []
     assert [r["missing_side"] for r in compare.positional_diff(table(["a"], [["1"]]), table(["a"], [])).collect()] == ["right"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString().splitlines()
+
+
+def test_first_entries_are_found_without_a_sort_of_all_entries(spark, tmp_path):
+    docs = [
+        '{"agent_name": "b", "metrics": [], "passed": true, "duration_seconds": 1.0, "metadata": {"z": 1, "a": 2}}',
+        '{"agent_name": "a", "metrics": [], "passed": true, "duration_seconds": 2.0, "metadata": {"a": 4}}',
+        '{"agent_name": "b", "metrics": [], "passed": false, "duration_seconds": 3.0, "metadata": {"m": 3, "a": 5}}',
+    ]
+    for k, doc in enumerate(docs):
+        (tmp_path / f"part-{k}").write_text(doc + "\n")
+    read = read_result_log(spark, str(tmp_path))
+    placed = read.drop("_order").withColumn(POS, F.when(F.col("duration_seconds") > 1, F.col("duration_seconds").cast("bigint") - 9))
+    for log in (read, placed):
+        summary = summarize(log)
+        lines = _plan(summary)
+        generate = next(i for i, x in enumerate(lines) if "Generate" in x)
+        above = next(x for x in reversed(lines[:generate]) if "Aggregate" in x or "Sort " in x)
+        assert "HashAggregate" in above and "ObjectHash" not in above
+        got = [(r["agent_name"], r["average_duration_seconds"], r["average_metadata"]) for r in summary.orderBy("first").collect()]
+        assert got == [("b", 2.0, {"z": 1.0, "a": 3.5, "m": 3.0}), ("a", 2.0, {"a": 4.0})]
+        keys = summary.orderBy("first").select(F.map_keys("average_metadata")).first()[0]
+        assert keys == ["z", "a", "m"]
+    first = summarize(placed).select("agent_name", "first.order", "first.place").collect()
+    assert sorted(map(tuple, first)) == [("a", -7, 0), ("b", None, 0)]

@@ -121,7 +121,7 @@ def _keyed_log(spark, sf_dir):
 def report_key_order(spark, sf_dir):
     """Metadata lines of the report, after a round trip through the log."""
     folder = shared_folder(spark, "results")
-    write_results(_keyed_log(spark, sf_dir).coalesce(1), folder)
+    write_results(_keyed_log(spark, sf_dir), folder)
     sections = agent_sections(summarize(read_result_log(spark, folder)))
     lines = F.regexp_extract_all("section", F.lit(r"  - ([a-z]: [0-9.]+)"), F.lit(1))
     return sections.select("agent_name", F.array_join(lines, ", ").alias("metadata"))
