@@ -16,6 +16,10 @@ from tabshift.session import cut_lineage
 
 #: Text bytes handled at once inside a task; a longer single text is its own slice.
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch on its way to a worker: Spark's own bound, 10,000 rows or 64 MB, is
+#: held several times over, by the executor and by each of its workers.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -94,7 +98,11 @@ def _give_back() -> None:
 
 
 def map_arrow(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
-    """mapInArrow; every frame of an operator goes through here."""
+    """mapInArrow; every frame of an operator goes through here. Batches are bounded in the
+    session, as the frame runs later; a session's own bound holds."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
     def run(batches):
         yield from function(batches)

@@ -16,6 +16,7 @@ are pieces of their own; an empty table gives no row.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import unicodedata
 import zlib
@@ -33,9 +34,11 @@ from tabshift.llm.common import bytes_of, column, map_arrow, slices, written
 CAPACITY = 2048
 CLOSING_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Words whose ids a task remembers.
 KNOWN_WORDS = 600_000
+#: Words encoded at once: the tokenizer's result takes far more memory than the ids in it.
+ENCODED_WORDS = 4096
 #: Punctuation that never joins a letter or digit before it.
 _TAIL = ".,!?;:%$*&#"
 
@@ -80,12 +83,16 @@ class WordTokens:
             self._clear()
         new = [w for w in words if w not in self.known]
         if new:
-            ids = [e.ids for e in self.encode(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            sizes, flats = [], []
+            for at in range(0, len(new), ENCODED_WORDS):
+                ids = [e.ids for e in self.encode(new[at : at + ENCODED_WORDS], add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                flats.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
+            size = np.concatenate(sizes)
             first = len(self.flat) + np.cumsum(size) - size
             self.known.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
             self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.array([x for y in ids for x in y], np.uint32)])
+            self.flat = np.concatenate([self.flat, *flats])
         number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         place = pa.array(words, core.type)
         return tuple(number[pc.index_in(part, place).to_numpy()] for part in (core, tail))

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tabshift.llm import packing as P
+from tabshift.llm.common import map_arrow
 
 from .helpers import documents
 
@@ -32,6 +33,34 @@ def test_words_give_the_ids_of_whole_texts(tokenizer):
         assert ids[offsets[k] : offsets[k + 1]].tolist() == ids_of(tokenizer, text)
 
 
+def test_new_words_are_encoded_in_blocks(tokenizer):
+    tokens, sizes = P.WordTokens(P.tokenizer_path()), []
+    encode = tokens.encode
+
+    def seen(words, **options):
+        sizes.append(len(words))
+        return encode(words, **options)
+
+    tokens.encode = seen
+    texts = [" ".join(f"w{k * 7919 + i}x," for i in range(3000)) for k in range(3)]
+    ids, offsets = tokens.ids(pa.array([*texts, texts[0]]))
+    assert sum(sizes) >= 9000 and max(sizes) <= 4096
+    for k, text in enumerate([*texts, texts[0]]):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == ids_of(tokenizer, text)
+
+
+def test_workers_get_small_batches(spark):
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('four', 1024) AS text")
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    found = map_arrow(rows, run, "n bigint, size bigint").collect()
+    assert sum(r["n"] for r in found) == 3000
+    assert max(r["size"] for r in found) < 5 << 20
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=40))
 def test_any_text_gives_the_same_ids(text):
