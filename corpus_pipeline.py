@@ -16,6 +16,8 @@ from tabshift.llm.queries import language_model, pseudonym_key
 
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Text bytes packed at once: small, as the executors still hold what the Jaccard stage took.
+PACKED_BYTES = 1 << 20
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -68,7 +70,7 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their places in sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, slice_bytes=PACKED_BYTES)
 
 
 STAGES = [

@@ -34,7 +34,7 @@ from tabshift.llm.common import bytes_of, column, map_arrow, slices, written
 CAPACITY = 2048
 CLOSING_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 #: Words whose ids a task remembers.
 KNOWN_WORDS = 600_000
 #: Words encoded at once: the tokenizer's result takes far more memory than the ids in it.
@@ -153,13 +153,13 @@ def _gather(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarr
 PIECES = "id {id}, piece int, start bigint, length bigint, ids_crc32 bigint, chunk int, nth bigint"
 
 
-def pieces(docs: DataFrame, id: str, text: str, capacity: int, path: str, keep_ids: bool) -> DataFrame:
+def pieces(docs: DataFrame, id: str, text: str, capacity: int, path: str, keep_ids: bool, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Pieces with the number of their chunk and their rank in it among equal lengths."""
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.spark_partition_id().alias("chunk"))
 
     def run(batches):
         tokens, seen = WordTokens(path), {}
-        for part in slices(batches, "text", SLICE_BYTES):
+        for part in slices(batches, "text", slice_bytes):
             ids, offsets = tokens.ids(column(part, "text"))
             total = np.diff(offsets)
             count = -(-total // capacity)
@@ -273,9 +273,10 @@ def pack(
     capacity: int = CAPACITY,
     tokenizer: str | None = None,
     keep_ids: bool = False,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """id, piece, start, length, ids_crc32, sequence_id, offset and, on demand, the ids."""
-    found = written(pieces(docs, id, text, capacity, tokenizer or tokenizer_path(), keep_ids))
+    found = written(pieces(docs, id, text, capacity, tokenizer or tokenizer_path(), keep_ids, slice_bytes))
     by_chunk = found.groupBy("length", "chunk").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in by_chunk.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = minimum_slack(counts, capacity)
