@@ -363,7 +363,9 @@ BAD_NOISE = noise(32, [], ("typo", 0.97), ("typo", 0.9), ("duplicate", 0.1), ("m
 def wide_customers(spark, sf_dir):
     """Customers with columns of every kind: unique ones, and few values or many."""
     number = F.col(POS)
-    return customers(spark, sf_dir).select(
+    # a table may be one row group, which one task reads; damage to many columns is dealt to all
+    dealt = customers(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    return dealt.select(
         *[col(c) for c in WIDE_COLUMNS[:5]],
         (col("nation").cast("int") % 5).cast("string").alias("area"),
         (number % 10).cast("string").alias("last digit"),
